@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import linededup, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
+    "op3_line_edit_join": linededup.op3_line_edit_join,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op9_jump_hash_shards": sharding.op9_jump_hash_shards,
 }
