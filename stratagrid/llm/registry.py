@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import linededup, sharding, simhash, toxicity
+from . import linededup, ogg, packing, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
+    "op2_ogg_media": ogg.op2_ogg_media,
     "op3_line_edit_join": linededup.op3_line_edit_join,
+    "op4_nnls_packing": packing.op4_nnls_packing,
+    "op5_warc_chunks": warc.op5_warc_chunks,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op9_jump_hash_shards": sharding.op9_jump_hash_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_warc_chunks": warc.ORACLE,
+}

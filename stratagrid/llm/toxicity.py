@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORD = re.compile(r"\w+")
 #: Beginnings of words that count as features beside whole words (which end in a space).
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int
         names = [*seen[1], *(seen[0].keys() - seen[1].keys())]
         yield pa.RecordBatch.from_pydict({"f": ["", *names], "p": [rows[1], *(seen[1][f] for f in names)], "u": [rows[0], *(seen[0][f] for f in names)]}, pa.schema([("f", pa.string()), ("p", pa.int64()), ("u", pa.int64())]))
 
-    both = body.coalesce(16).mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    both = written(body.coalesce(16).mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
     total = both.where("f = ''").first()
     if total is None or not total.p or not total.u:
         return Model([], np.zeros(0), float(np.log(prior / (1 - prior))), prior)
