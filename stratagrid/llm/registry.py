@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, ogg, packing, sharding, simhash, toxicity, warc, wrapper
+from . import linededup, neighbours, ogg, packing, sharding, simhash, toxicity, warc, wrapper
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_nnls_packing": packing.op4_nnls_packing,
     "op5_warc_chunks": warc.op5_warc_chunks,
     "op6_simhash_components": simhash.op6_simhash_components,
+    "op7_posting_list_search": neighbours.op7_posting_list_search,
     "op8_wrapper_text": wrapper.op8_wrapper_text,
     "op9_jump_hash_shards": sharding.op9_jump_hash_shards,
 }
