@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import linededup, neighbours, ogg, packing, sharding, simhash, toxicity, warc, wrapper
+import corpus_pipeline
+
+from . import linededup, mixing, neighbours, ogg, packing, sharding, simhash, toxicity, warc, wrapper
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
@@ -14,6 +16,8 @@ QUERIES = {
     "op7_posting_list_search": neighbours.op7_posting_list_search,
     "op8_wrapper_text": wrapper.op8_wrapper_text,
     "op9_jump_hash_shards": sharding.op9_jump_hash_shards,
+    "op10_soft_mixing": mixing.op10_soft_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

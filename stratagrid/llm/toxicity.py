@@ -171,6 +171,20 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score", "predicted")
 
 
+def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose texts score below 0.5. Null and empty texts stay if the bias alone does."""
+    index = {f: i for i, f in enumerate(model.features) if model.weights[i]}
+    weights, bias, at = model.weights.tolist(), model.bias, df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[int, ...]] = {}
+        for b in batches:
+            z = np.array([bias + sum(weights[i] for i in sorted(present(t.as_py(), index, memo))) for t in b.column(at)])
+            yield b.filter(pa.array(0.5 * (1 + np.tanh(z / 2)) < 0.5, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels are never learnt from: CRC-32 of the key as text, divisible by 5."""
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 5 == 0
