@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagrid.functions.clock import abs_slot, floor_div
+from stratagrid.functions.clock import DAY_SECONDS, abs_slot, floor_div
+from stratagrid.operators.ranks import hinted, id_part, rank_within
 
-#: Parts that the records of one second of a slot with a cut in it are dealt to when they are numbered.
+#: Parts of the range of ids that a second's records are dealt to when they are numbered.
 PARTS = 256
 
-
 @dataclass(frozen=True)
 class Sizes:
     """slot_seconds, and of a bucket: records at which it ends with its slot, at which it ends at once, slots it may have."""
@@ -26,62 +28,52 @@ class Sizes:
         return Sizes(max(1, self.slot_seconds), max(1, self.target), max(1, self.target, self.most), max(1, self.slots))
 
 
-def bucket_cuts(points: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """(bucket_id, first, last): the ranks, from 0 in the order of (ts, record_id), that each bucket holds.
+def slot_states(points: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+    """(abs_slot, k, open_n, bucket): each occupied slot's records, how many records the bucket that is open at its start
+    has, and that bucket's number.
 
-    Only slot counts are folded: an array of the occupied slots, which the span of time bounds, not the records. State:
-    records and slots in the open bucket, records before, cuts. A slot that overfills a bucket cuts it inside."""
+    Cutting is sequential, over slots, not records: one task folds a row for each occupied slot (the span of time over
+    the slot's length, 52,560 rows a year for ten minutes), however many records these hold."""
     z = sizes.normal()
-    counts = points.groupBy(abs_slot(F.col("ts"), z.slot_seconds).alias("slot")).agg(F.count("*").alias("k"))
-    one = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "k"))), lambda s: s.k).alias("ks"))
-    room = f"({z.most} - s.n)"
-    rest = f"((k - {room}) % {z.most})"
-    inner = f"transform(sequence(0L, (k - {room}) div {z.most}), i -> s.p + {room} + i * {z.most})"
-    shut = f"({rest} > 0 and (1 >= {z.slots} or {rest} >= {z.target}))"
-    full = f"s.n + k >= {z.most}"
-    end = f"(s.o + 1 >= {z.slots} or s.n + k >= {z.target})"
-    fold = f"""aggregate(ks, named_struct('n', 0L, 'o', 0L, 'p', 0L, 'cuts', cast(array() as array<bigint>)), (s, k) -> named_struct(
-        'n', case when {full} then if({shut}, 0L, {rest}) when {end} then 0L else s.n + k end,
-        'o', case when {full} then if({shut} or {rest} = 0, 0L, 1L) when {end} then 0L else s.o + 1L end,
-        'p', s.p + k,
-        'cuts', case when {full} then concat(s.cuts, {inner}, if({shut}, array(s.p + k), cast(array() as array<bigint>)))
-                     when {end} then concat(s.cuts, array(s.p + k)) else s.cuts end),
-        s -> if(s.n > 0, concat(s.cuts, array(s.p)), s.cuts))"""
-    cuts = one.select(F.expr(fold).alias("cuts")).select(F.posexplode("cuts").alias("bucket_id", "stop"), "cuts")
-    first = F.when(F.col("bucket_id") == 0, F.lit(0)).otherwise(F.element_at("cuts", F.greatest(F.col("bucket_id"), F.lit(1))))
-    return cuts.select("bucket_id", first.cast("bigint").alias("first"), (F.col("stop") - 1).alias("last"))
+    counts = points.groupBy(abs_slot(F.col("ts"), z.slot_seconds).alias("abs_slot")).agg(F.count("*").alias("k"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = slots = bucket = 0
+        for b in batches:
+            opens, numbers = [], []
+            for k in b.column(1).to_pylist():
+                opens.append(n)
+                numbers.append(bucket)
+                if n + k >= z.most:  # cut when full, and every ``most`` records from there
+                    over = k - (z.most - n)
+                    bucket += 1 + over // z.most
+                    n = over % z.most
+                    slots = int(n > 0)
+                else:
+                    n, slots = n + k, slots + 1
+                if n and (n >= z.target or slots >= z.slots):
+                    n, slots, bucket = 0, 0, bucket + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(opens, pa.int64()), pa.array(numbers, pa.int64())], names=["abs_slot", "k", "open_n", "bucket"])
+
+    return counts.repartition(1).sortWithinPartitions("abs_slot").mapInArrow(fold, "abs_slot long, k long, open_n long, bucket long")
 
 
 def with_buckets(points: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """``points`` with abs_slot and bucket_id.
 
-    A slot that lies in one bucket gives it to all its records. Only records of slots with a cut inside are numbered,
-    by second and by range of ids (so no task has a whole slot), and matched to their bucket by rank."""
+    A slot without a cut inside gives its bucket to all its records. Records of the others are numbered within the slot
+    in the order of (ts, record_id), in parts by second and range of ids; the bucket follows from the number."""
     z = sizes.normal()
-    cuts = bucket_cuts(points, z)
-    slots = points.groupBy(abs_slot(F.col("ts"), z.slot_seconds).alias("abs_slot")).agg(F.count("*").alias("k"))
-    # The table of slots is as long as the span of time; its running sum is one sort of it.
-    before = Window.orderBy("abs_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
-    spans = slots.join(F.broadcast(cuts), (F.col("before") <= F.col("last")) & (F.col("before") + F.col("k") > F.col("first")))
-    spans = spans.groupBy("abs_slot", "before").agg(F.min("bucket_id").alias("low"), F.max("bucket_id").alias("high"))
-    known = points.withColumn("abs_slot", abs_slot(F.col("ts"), z.slot_seconds)).join(F.broadcast(spans), "abs_slot")
-    whole = known.where("low = high").select(*points.columns, "abs_slot", F.col("low").alias("bucket_id"))
-    cut = known.where("low < high")
-    span = cut.groupBy("abs_slot", "ts").agg(F.min("record_id").alias("id0"), F.max("record_id").alias("id1"))
-    dealt = cut.join(span, ["abs_slot", "ts"]).withColumn("part", floor_div_by(F.col("record_id") - F.col("id0"), (F.col("id1") - F.col("id0")) / F.lit(PARTS) + F.lit(1.0)))
-    sizes_of = dealt.groupBy("abs_slot", "ts", "part").agg(F.count("*").alias("m"))
-    order = Window.partitionBy("abs_slot").orderBy("ts", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes_of.select("abs_slot", "ts", "part", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("start"))
-    local = F.row_number().over(Window.partitionBy("abs_slot", "ts", "part").orderBy("record_id")) - 1
-    ranked = dealt.withColumn("local", local).join(starts, ["abs_slot", "ts", "part"]).withColumn("rank", F.col("before") + F.col("start") + F.col("local"))
-    ends = F.broadcast(cuts.select(F.col("bucket_id").alias("bucket_id"), "first", "last"))
-    inside = ranked.join(ends, F.col("bucket_id").between(F.col("low"), F.col("high")) & F.col("rank").between(F.col("first"), F.col("last")))
-    return whole.unionByName(inside.select(*points.columns, "abs_slot", "bucket_id"))
-
-
-def floor_div_by(x, width):
-    return F.floor(x / width).cast("bigint")
+    states = slot_states(points, z)
+    met = points.withColumn("abs_slot", abs_slot(F.col("ts"), z.slot_seconds)).join(states, "abs_slot")
+    cut = F.col("open_n") + F.col("k") > z.most
+    whole = met.where(~cut).select(*points.columns, "abs_slot", F.col("bucket").alias("bucket_id"))
+    inside = met.where(cut)
+    second = (F.col("ts") - F.col("abs_slot") * z.slot_seconds) * PARTS + id_part(points, "record_id", PARTS)
+    ranked = rank_within(inside, ["abs_slot"], ["ts", "record_id"], second)
+    over = F.col("rank") - (F.lit(z.most) - F.col("open_n"))
+    number = F.when(over < 0, F.col("bucket")).otherwise(F.col("bucket") + 1 + F.floor(over / F.lit(z.most)).cast("bigint"))
+    return whole.unionByName(ranked.select(*points.columns, "abs_slot", number.alias("bucket_id")))
 
 
 def bucket_slots(bucketed: DataFrame) -> DataFrame:
@@ -93,13 +85,18 @@ def bucket_slots(bucketed: DataFrame) -> DataFrame:
 def bucket_table(bucketed: DataFrame) -> DataFrame:
     """(bucket_id, start_ts, end_ts, start_slot, end_slot, n, n_slots, next_bucket)."""
     made = bucketed.groupBy("bucket_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min("abs_slot").alias("start_slot"), F.max("abs_slot").alias("end_slot"), F.count("*").alias("n"), F.count_distinct("abs_slot").alias("n_slots"))
-    return made.withColumn("next_bucket", F.lead("bucket_id").over(Window.orderBy("bucket_id")))
+    # Buckets are numbered without gaps.
+    last = made.agg(F.max("bucket_id").alias("last"))
+    return made.join(F.broadcast(last)).withColumn("next_bucket", F.when(F.col("bucket_id") < F.col("last"), F.col("bucket_id") + 1)).drop("last")
 
 
 def touched(buckets: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs of a query and a bucket whose times meet (one row per bucket in ``buckets``; queries are few)."""
-    q = F.broadcast(queries.select("query_id", "s", "e"))
-    return buckets.join(q, (F.col("start_ts") <= F.col("e")) & (F.col("end_ts") >= F.col("s")))
+    """Pairs of a query and a bucket whose times meet. Both are dealt to the days that they lie in, so that the join is by
+    equality; a pair is kept at the first day that they share."""
+    days = lambda a, b: F.explode(F.sequence(floor_div(F.col(a), DAY_SECONDS), floor_div(F.col(b), DAY_SECONDS)))
+    q = queries.select("query_id", "s", "e", days("s", "e").alias("day"))
+    met = buckets.withColumn("day", days("start_ts", "end_ts")).join(q, "day").where("start_ts <= e and end_ts >= s")
+    return met.where(F.col("day") == floor_div(F.greatest("s", "start_ts"), DAY_SECONDS)).drop("day")
 
 
 def local_ranges(bucketed: DataFrame, queries: DataFrame, slot_seconds: int = 600) -> DataFrame:
@@ -116,12 +113,10 @@ def local_ranges(bucketed: DataFrame, queries: DataFrame, slot_seconds: int = 60
 def locate(buckets: DataFrame, times: DataFrame) -> DataFrame:
     """For each ts of ``times``, the first bucket that ends at or after its slot's start (null: none)."""
     slot_start = F.expr("floor(ts / 600.0) * 600").cast("bigint")
-    met = F.broadcast(times.distinct()).join(buckets, F.col("end_ts") >= slot_start, "left")
+    met = hinted(times.distinct()).join(buckets, F.col("end_ts") >= slot_start, "left")
     return met.groupBy("ts").agg(F.min("bucket_id").alias("bucket_id"))
 
 
 def bucket_stats(buckets: DataFrame) -> DataFrame:
     return buckets.agg(F.count("*").alias("n_buckets"), F.sum("n").alias("n_records"), F.max("n").alias("max_records"), F.round(F.avg("n"), 6).alias("avg_records"), F.max("n_slots").alias("max_slots"), F.round(F.avg("n_slots"), 6).alias("avg_slots"), F.sum(F.lit(48) + F.col("n_slots") * 16).alias("metadata_bytes"))
 
-
-__all__ = ["Sizes", "bucket_cuts", "bucket_slots", "bucket_stats", "bucket_table", "floor_div", "local_ranges", "locate", "touched", "with_buckets"]

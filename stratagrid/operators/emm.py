@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.functions import crypto
+from stratagrid.operators.ranks import id_part, rank_within
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,8 @@ def entry(token_: Column, i: Column) -> Column:
 def build(postings: DataFrame, keys: Keys = Keys()) -> DataFrame:
     """(ct_label, ct_value) of postings (label, record_id). Entries are numbered within a keyword in the order of the
     record ids, so the table is the same in every run."""
-    order = Window.partitionBy("label").orderBy("record_id")
-    numbered = postings.select("label", "record_id").withColumn("i", F.row_number().over(order) - 1)
+    rows = postings.select("label", "record_id")
+    numbered = rank_within(rows, ["label"], ["record_id"], id_part(rows), "i")
     return numbered.select(entry(token(F.col("label"), keys), F.col("i")).alias("ct_label"), crypto.encrypt(F.col("record_id"), keys.aes()).alias("ct_value"))
 
 

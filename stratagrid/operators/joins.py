@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.functions.crypto import key64
-from stratagrid.operators.truth import in_box
+from stratagrid.operators.truth import in_boxes
 
 
 def keyword_semijoin(left: DataFrame, right: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, record_id) of left's records in a box whose join value some right record with the query's keyword has.
     ``right``: (join_key, keyword); ``queries``: boxes with a keyword."""
-    q = F.broadcast(queries)
-    inside = left.join(q, in_box()).select("query_id", "keyword", "record_id", "join_key")
+    inside = in_boxes(left, queries).select("query_id", "keyword", "record_id", "join_key")
     return inside.join(right.select("keyword", "join_key").distinct(), ["keyword", "join_key"], "left_semi").select("query_id", "record_id")
 
 

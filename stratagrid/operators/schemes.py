@@ -1,7 +1,6 @@
 """Candidate generation: each scheme's exact candidates, (query_id, record_id), a superset of the box's records.
 
-Pruning is exact (set membership, no filters that err), so candidates are the same in every run. Query tables are small
-and broadcast; what grows is scanned, grouped by (bucket or day, slot), and semi-joined."""
+Pruning is exact (set membership, no filters that err), so candidates are the same in every run. What grows is scanned, grouped by (bucket or day, slot), and joined by equality. Query tables carry no hint: Spark broadcasts them while they are small."""
 
 from __future__ import annotations
 
@@ -12,6 +11,7 @@ from stratagrid.functions import cells, cover, grid
 from stratagrid.functions.clock import DAY_SECONDS, SLOTS_PER_DAY, abs_slot, floor_div, slot_in_day
 from stratagrid.operators import buckets as B
 from stratagrid.operators import truth
+from stratagrid.operators.ranks import id_part, rank_within
 
 #: Levels of the spatial cells that slots, and covers of slots, are pruned by.
 SLOT_LEVEL, COVER_LEVEL, GRID_BITS, DAY_HEIGHT = 8, 3, 7, 8
@@ -34,7 +34,7 @@ def _query_cells(queries: DataFrame, points: DataFrame, level: int) -> DataFrame
 
 def _hits(slots: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """(query_id, key, slot) of slots in a query's range with a record in the query's cells."""
-    met = slots.join(F.broadcast(ranges), key).where("slot between lo and hi and cx between x0 and x1 and cy between y0 and y1")
+    met = slots.join(ranges, key).where("slot between lo and hi and cx between x0 and x1 and cy between y0 and y1")
     return met.select("query_id", key, "slot").distinct()
 
 
@@ -42,7 +42,7 @@ def slot_candidates(points: DataFrame, queries: DataFrame, sizes: B.Sizes = B.Si
     """All records of each slot of a bucket that the query's time meets and that has a record in the query's cells."""
     bucketed = B.with_buckets(_cells(points, points, level), sizes)
     q = _query_cells(queries, points, level)
-    spans = B.touched(B.bucket_table(bucketed), queries).select("query_id", "bucket_id", abs_slot(F.greatest("s", "start_ts"), sizes.normal().slot_seconds).alias("lo"), abs_slot(F.least("e", "end_ts"), sizes.normal().slot_seconds).alias("hi")).join(F.broadcast(q.drop("s", "e")), "query_id")
+    spans = B.touched(B.bucket_table(bucketed), queries).select("query_id", "bucket_id", abs_slot(F.greatest("s", "start_ts"), sizes.normal().slot_seconds).alias("lo"), abs_slot(F.least("e", "end_ts"), sizes.normal().slot_seconds).alias("hi")).join(q.drop("s", "e"), "query_id")
     slots = bucketed.select("bucket_id", F.col("abs_slot").alias("slot"), "cx", "cy").distinct()
     hit = _hits(slots, spans, "bucket_id")
     return bucketed.select("record_id", "bucket_id", F.col("abs_slot").alias("slot")).join(hit, ["bucket_id", "slot"]).select("query_id", "record_id")
@@ -53,10 +53,10 @@ def slot_cover_candidates(points: DataFrame, queries: DataFrame, sizes: B.Sizes
     bucketed = B.with_buckets(_cells(points, points, level), sizes)
     slots = B.bucket_slots(bucketed)
     local = bucketed.join(slots.select("bucket_id", "abs_slot", F.col("local_slot").cast("bigint").alias("slot")), ["bucket_id", "abs_slot"])
-    ranges = B.local_ranges(bucketed, queries, sizes.normal().slot_seconds).where("lo >= 0").join(F.broadcast(_query_cells(queries, points, level).drop("s", "e")), "query_id")
+    ranges = B.local_ranges(bucketed, queries, sizes.normal().slot_seconds).where("lo >= 0").join(_query_cells(queries, points, level).drop("s", "e"), "query_id")
     hit = _hits(local.select("bucket_id", "slot", "cx", "cy").distinct(), ranges, "bucket_id").select("query_id", "bucket_id").distinct()
     covers = ranges.join(hit, ["query_id", "bucket_id"], "left_semi").select("query_id", "bucket_id", cover.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
-    return local.join(F.broadcast(covers), "bucket_id").where("slot between c.lo and c.hi").select("query_id", "record_id")
+    return local.join(covers, "bucket_id").where("slot between c.lo and c.hi").select("query_id", "record_id")
 
 
 def _days(queries: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def _day_points(points: DataFrame, level: int) -> DataFrame:
 def day_slot_candidates(points: DataFrame, queries: DataFrame, level: int = SLOT_LEVEL) -> DataFrame:
     """As slot_candidates, with days for buckets."""
     p = _day_points(points, level)
-    ranges = _days(queries).join(F.broadcast(_query_cells(queries, points, level).drop("s", "e")), "query_id")
+    ranges = _days(queries).join(_query_cells(queries, points, level).drop("s", "e"), "query_id")
     hit = _hits(p.select("day", "slot", "cx", "cy").distinct(), ranges, "day")
     return p.select("record_id", "day", "slot").join(hit, ["day", "slot"]).select("query_id", "record_id")
 
@@ -81,10 +81,10 @@ def day_slot_candidates(points: DataFrame, queries: DataFrame, level: int = SLOT
 def day_cover_candidates(points: DataFrame, queries: DataFrame, level: int = COVER_LEVEL) -> DataFrame:
     """As slot_cover_candidates, with days for buckets."""
     p = _day_points(points, level)
-    ranges = _days(queries).join(F.broadcast(_query_cells(queries, points, level).drop("s", "e")), "query_id")
+    ranges = _days(queries).join(_query_cells(queries, points, level).drop("s", "e"), "query_id")
     hit = _hits(p.select("day", "slot", "cx", "cy").distinct(), ranges, "day").select("query_id", "day").distinct()
     covers = ranges.join(hit, ["query_id", "day"], "left_semi").select("query_id", "day", cover.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
-    return p.join(F.broadcast(covers), "day").where("slot between c.lo and c.hi").select("query_id", "record_id")
+    return p.join(covers, "day").where("slot between c.lo and c.hi").select("query_id", "record_id")
 
 
 def grid_points(points: DataFrame, bits: int = GRID_BITS) -> DataFrame:
@@ -106,11 +106,12 @@ def grid_boxes(points: DataFrame, queries: DataFrame, bits: int = GRID_BITS) ->
 
 
 def dyadic_grid_candidates(points: DataFrame, queries: DataFrame, bits: int = GRID_BITS) -> DataFrame:
-    """All records in the product of the three axes' dyadic covers. No label is made: the covers are range conditions."""
+    """All records in the product of the three axes' dyadic covers. No label is made: a query has a row for each time cell
+    of its cover (2^bits at most), the join is by time cell, and the other covers are range conditions."""
     q = grid_boxes(points, queries, bits)
     q = q.select("query_id", *(cover.dyadic_cover(F.col(f"{c}0"), F.col(f"{c}1")).alias(f"c{c}") for c in "xyz"))
-    met = grid_points(points, bits).join(F.broadcast(q), F.col("x").between(F.col("cx.lo"), F.col("cx.hi")) & F.col("y").between(F.col("cy.lo"), F.col("cy.hi")) & F.col("z").between(F.col("cz.lo"), F.col("cz.hi")))
-    return met.select("query_id", "record_id")
+    q = q.withColumn("x", F.explode(F.sequence("cx.lo", "cx.hi")))
+    return grid_points(points, bits).join(q, "x").where("y between cy.lo and cy.hi and z between cz.lo and cz.hi").select("query_id", "record_id")
 
 
 def staggered_covers(points: DataFrame, queries: DataFrame, bits: int = GRID_BITS) -> DataFrame:
@@ -123,8 +124,8 @@ def staggered_covers(points: DataFrame, queries: DataFrame, bits: int = GRID_BIT
 def staggered_grid_candidates(points: DataFrame, queries: DataFrame, bits: int = GRID_BITS) -> DataFrame:
     """All records in each box's staggered cube."""
     c = staggered_covers(points, queries, bits).select("query_id", "w", *(F.col(n).alias(f"c{n}") for n in "xyz"))
-    inside = [(F.col(n) >= F.col(f"c{n}")) & (F.col(n) < F.col(f"c{n}") + F.col("w")) for n in "xyz"]
-    return grid_points(points, bits).join(F.broadcast(c), inside[0] & inside[1] & inside[2]).select("query_id", "record_id")
+    c = c.withColumn("x", F.explode(F.sequence("cx", F.col("cx") + F.col("w") - 1)))
+    return grid_points(points, bits).join(c, "x").where("y >= cy and y < cy + w and z >= cz and z < cz + w").select("query_id", "record_id")
 
 
 def dyadic_label_counts(points: DataFrame, bits: int = GRID_BITS) -> DataFrame:
@@ -142,7 +143,8 @@ def dyadic_postings(points: DataFrame, queries: DataFrame, bits: int = GRID_BITS
     p = grid_points(points, bits)
     cells_ = p.select("x", "y", "z").distinct()
     cells_ = cells_.select("x", "y", "z", *(cover.dyadic_path(F.col(c), bits).alias(f"p{c}") for c in "xyz"))
-    met = cells_.join(F.broadcast(q), F.expr("array_contains(px, cx) and array_contains(py, cy) and array_contains(pz, cz)"))
+    q = q.withColumn("x", F.explode(F.sequence("cx.lo", "cx.hi")))
+    met = cells_.join(q, "x").where("array_contains(px, cx) and array_contains(py, cy) and array_contains(pz, cz)")
     under = met.select("query_id", cover.box_label(F.col("cx"), F.col("cy"), F.col("cz")).alias("label"), "x", "y", "z")
     return p.join(under, ["x", "y", "z"]).select("query_id", "label", "record_id")
 
@@ -170,10 +172,11 @@ def position_index(points: DataFrame, attribute) -> DataFrame:
 
 def merged_position_ranges(index: DataFrame, spans: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(query_id, lo, hi): the position ranges of attributes in a query's span [a, b], first looked up through the cover
-    of the span, filtered, and merged where they touch."""
+    of the span (a row for each attribute in it), filtered, and merged where they touch."""
     by = by or []
     wide = spans.withColumn("c", cover.dyadic_cover(F.col("a"), F.col("b")))
-    found = index.join(F.broadcast(wide), by).where("attr between c.lo and c.hi") if by else index.join(F.broadcast(wide), F.col("attr").between(F.col("c.lo"), F.col("c.hi")))
+    wide = wide.withColumn("attr", F.explode(F.sequence("c.lo", "c.hi")))
+    found = index.join(wide, [*by, "attr"])
     kept = found.where("attr between a and b").select("query_id", *by, "first", "last").distinct()
     group = ["query_id", *by]
     reach = F.max("last").over(Window.partitionBy(*group).orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
@@ -192,12 +195,13 @@ def two_level_candidates(points: DataFrame, queries: DataFrame, bits: int = GRID
     index = position_index(g, F.col("x"))
     ranges = merged_position_ranges(index, two_level_spans(points, queries, bits))
     covers = ranges.select("query_id", cover.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
-    # A position is a cell's first and a rank in the cell; only cells that a cover cuts need ranks.
-    spans = index.join(F.broadcast(covers), F.expr("first <= c.hi and last >= c.lo")).select("query_id", F.col("attr").alias("x"), "first", F.greatest(F.col("c.lo") - F.col("first"), F.lit(0)).alias("r0"), (F.least("c.hi", "last") - F.col("first")).alias("r1"), (F.col("last") - F.col("first")).alias("top"))
-    whole = g.join(F.broadcast(spans.where("r0 = 0 and r1 = top")), "x").select("query_id", "record_id")
-    part = F.broadcast(spans.where("r0 > 0 or r1 < top"))
-    ranked = g.join(F.broadcast(spans.where("r0 > 0 or r1 < top").select("x").distinct()), "x", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("record_id")) - 1)
-    return whole.union(ranked.join(part, "x").where("r between r0 and r1").select("query_id", "record_id")).distinct()
+    # A position is a cell's first and a rank in the cell; only cells that a cover cuts need ranks. The index has a row
+    # for each of the 2^bits cells at most.
+    spans = covers.join(F.broadcast(index), F.expr("first <= c.hi and last >= c.lo")).select("query_id", F.col("attr").alias("x"), F.greatest(F.col("c.lo") - F.col("first"), F.lit(0)).alias("r0"), (F.least("c.hi", "last") - F.col("first")).alias("r1"), (F.col("last") - F.col("first")).alias("top"))
+    whole = g.join(spans.where("r0 = 0 and r1 = top"), "x").select("query_id", "record_id")
+    part = spans.where("r0 > 0 or r1 < top")
+    ranked = rank_within(g.join(part.select("x").distinct(), "x", "left_semi"), ["x"], ["record_id"], id_part(points))
+    return whole.union(ranked.join(part, "x").where("rank between r0 and r1").select("query_id", "record_id")).distinct()
 
 
 def two_level_day_candidates(points: DataFrame, queries: DataFrame) -> DataFrame:
@@ -209,8 +213,8 @@ def two_level_day_candidates(points: DataFrame, queries: DataFrame) -> DataFrame
     index = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("day", "attr", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     spans = _days(queries).select("query_id", "day", F.col("lo").alias("a"), F.col("hi").alias("b"))
     covers = merged_position_ranges(index, spans, ["day"]).select("query_id", "day", cover.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
-    numbered = p.withColumn("pos", F.row_number().over(Window.partitionBy("day").orderBy("slot", "record_id")) - 1)
-    wanted = numbered.join(F.broadcast(covers), "day").where("pos between c.lo and c.hi")
+    numbered = rank_within(p, ["day"], ["slot", "record_id"], F.col("slot") * B.PARTS + id_part(points, parts=B.PARTS), "pos")
+    wanted = numbered.join(covers, "day").where("pos between c.lo and c.hi")
     return wanted.select("query_id", "record_id").distinct()
 
 

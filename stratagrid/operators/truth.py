@@ -20,11 +20,16 @@ def in_box() -> Column:
     return F.col("ts").between(F.col("s"), F.col("e")) & F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
 
 
-def batch_truth(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, record_id) of many boxes at once: queries are dealt to the days that they touch, so that the join is
-    by equality of days and the rest of the box is a residual condition."""
+def in_boxes(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """Points joined with the boxes that they lie in: queries are dealt to the days that they touch, so that the join is
+    by equality of days and the rest of the box is a residual condition. Spark broadcasts the queries if they are small."""
     days = queries.withColumn("day", F.explode(F.sequence(floor_div(F.col("s"), DAY_SECONDS), floor_div(F.col("e"), DAY_SECONDS))))
-    return points.withColumn("day", floor_div(F.col("ts"), DAY_SECONDS)).join(days, "day").where(in_box()).select("query_id", "record_id")
+    return points.withColumn("day", floor_div(F.col("ts"), DAY_SECONDS)).join(days, "day").where(in_box()).drop("day")
+
+
+def batch_truth(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, record_id) of many boxes at once."""
+    return in_boxes(points, queries).select("query_id", "record_id")
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def default_window(points: DataFrame) -> DataFrame:
     middle id is found by counting ids in ranges, so that no task sorts all records."""
     middle = points.where(F.col("record_id") == F.lit(value_at_rank(points, "record_id", points.count() // 2))).limit(1)
     b = bounds(points)
-    out = middle.join(b)
+    out = middle.join(F.broadcast(b))  # one row
     edge = lambda c: [F.greatest(F.col(f"{c}_min"), F.col(c) - (F.col(f"{c}_max") - F.col(f"{c}_min")) * 0.02).alias(f"q_{c}_min"), F.least(F.col(f"{c}_max"), F.col(c) + (F.col(f"{c}_max") - F.col(f"{c}_min")) * 0.02).alias(f"q_{c}_max")]
     day = floor_div(F.col("ts"), DAY_SECONDS) * DAY_SECONDS
     return out.select("record_id", day.alias("q_s"), (day + DAY_SECONDS - 1).alias("q_e"), *edge("lat"), *edge("lon"))

@@ -51,7 +51,7 @@ def inside_centres(points: DataFrame, sizes: B.Sizes = B.Sizes(), limit: int = C
     """The points about which the widest window still lies in one bucket: densest cells first, then the widest windows,
     then the fullest buckets, then the earliest; one for each cell and bucket first."""
     placed = density(B.with_buckets(points, sizes))
-    met = placed.join(F.broadcast(B.bucket_table(placed).select("bucket_id", "start_ts", "end_ts", F.col("n").alias("bucket_n"))), "bucket_id")
+    met = placed.join(B.bucket_table(placed).select("bucket_id", "start_ts", "end_ts", F.col("n").alias("bucket_n")), "bucket_id")
     widest = (F.least(F.col("ts") - F.col("start_ts"), F.col("end_ts") - F.col("ts")) * 2).cast("double")
     base = F.least(F.lit(float(INSIDE_SECONDS)), widest / max(SCALES) * 0.98)
     ranked = met.withColumn("widest", widest).withColumn("base_seconds", base).where("end_ts > start_ts and widest > 0 and base_seconds >= 60")
@@ -65,20 +65,20 @@ def edge_records(points: DataFrame, sizes: B.Sizes = B.Sizes(), near: int = NEAR
     part = Window.partitionBy("bucket_id")
     late = bucketed.withColumn("r", F.row_number().over(part.orderBy(F.desc("ts"), F.desc("record_id")))).where(F.col("r") <= near)
     early = bucketed.withColumn("r", F.row_number().over(part.orderBy("ts", "record_id"))).where((F.col("r") <= near) & (F.col("bucket_id") > 0))
-    side = lambda df, name, shift: df.select((F.col("bucket_id") - shift).cast("int").alias("pair"), F.lit(name).alias("side"), *points.columns)
+    side = lambda df, name, shift: df.select((F.col("bucket_id") - shift).alias("pair"), F.lit(name).alias("side"), *points.columns)
     pairs = B.bucket_table(bucketed).where("next_bucket is not null").select(F.col("bucket_id").alias("pair"))
-    return side(late, "left", 0).union(side(early, "right", 1)).join(F.broadcast(pairs), "pair", "left_semi")
+    return side(late, "left", 0).union(side(early, "right", 1)).join(pairs, "pair", "left_semi")
 
 
 def across_centres(points: DataFrame, sizes: B.Sizes = B.Sizes(), limit: int = CENTRES) -> DataFrame:
     """For each two neighbouring buckets the record near their border in the densest cell (then the nearest); the
     ``limit`` best pairs."""
     table = B.bucket_table(B.with_buckets(points, sizes))
-    after = Window.orderBy("bucket_id")
-    pairs = table.select(F.col("bucket_id").alias("pair"), "end_ts", F.lead("start_ts").over(after).alias("next_start"), (F.col("n") + F.lead("n").over(after)).alias("pair_n")).where("next_start is not null")
+    after = table.select((F.col("bucket_id") - 1).alias("bucket_id"), F.col("start_ts").alias("next_start"), F.col("n").alias("next_n"))
+    pairs = table.join(after, "bucket_id").select(F.col("bucket_id").alias("pair"), "end_ts", "next_start", (F.col("n") + F.col("next_n")).alias("pair_n"))
     pairs = pairs.withColumn("border", (F.col("end_ts") + F.col("next_start")) / F.lit(2.0)).withColumn("gap", F.greatest(F.lit(0), F.col("next_start") - F.col("end_ts")))
     cells = density(points).select("record_id", "cell_x", "cell_y", "cell_count")
-    near = edge_records(points, sizes).join(F.broadcast(pairs), "pair")
+    near = edge_records(points, sizes).join(pairs, "pair")
     # Records near borders are few: NEARBY on each side of a bucket.
     near = cells.join(near, "record_id").withColumn("away", F.abs(F.col("ts") - F.col("border")))
     best = near.withColumn("_k", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("cell_count"), F.asc("away"), F.asc("ts"), F.asc("record_id")))).where("_k = 1")
