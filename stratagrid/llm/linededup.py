@@ -124,8 +124,11 @@ def edit_links(lines: DataFrame, distance: int = 2, min_chars: int = 20) -> Data
     candidates = written(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct())
     remove(unique)
     ids = small(written(candidates.select(F.col("u").alias("id")).union(candidates.select("v")).distinct()))
-    texts = written(lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-    pairs = candidates.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
+    texts = lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = written(texts.withColumn("n_chars", F.char_length("line")).select("id", "line", histogram().alias("h")))
+    one, two = (texts.select(F.col("id").alias(i), F.col("line").alias(t), F.col("h").alias(h)) for i, t, h in (("u", "a", "ha"), ("v", "b", "hb")))
+    # The histograms are a cheap bound of the distance; most pairs of other words with a segment in common end here.
+    pairs = candidates.join(one, "u").join(two, "v").where(may_match("ha", "hb", distance)).select("u", "v", "a", "b")
     found = written(bounded_edit_distance(pairs, distance).where("edits is not null").select("u", "v", "edits"))
     remove(candidates)
     remove(texts)
