@@ -185,7 +185,7 @@ def pack(df: DataFrame, window: int = 1024, key: str = "doc_id", text: str = "te
         import zlib
 
         encode = encoder(file, pattern)
-        for b in batches:
+        for b in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):  # ids of a few rows at a time
             n, crcs, rests = [], [], []
             for t in b.column(1):
                 ids = np.array([*encode(t.as_py() or ""), end], dtype="<u4")

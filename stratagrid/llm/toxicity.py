@@ -18,7 +18,7 @@ WORD = re.compile(r"\w+")
 #: Beginnings of words that count as features beside whole words (which end in a space).
 STEMS = (4, 5, 6)
 #: Words whose features a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 @dataclass
