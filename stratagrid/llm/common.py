@@ -54,14 +54,6 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs whose DataFrames are gone."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def dense_positions(df: DataFrame, group: list[str], order: list[str], spread: Column, out: str, salts: int = 64, weight: str | None = None) -> DataFrame:
     """Adds ``out``: the position of each row in its group, gapless from 0 (with ``weight``: the sum of the weights
     before it). A group is dealt to ``salts`` parts by ``spread``; each part is numbered by itself and shifted by the

@@ -31,6 +31,8 @@ MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising
 OWN = frozenset("article post entry story content".split())
 DEEPEST = 150
 MAIN = ("article", "main")
+#: Sampled pages (host and hash, under 100 bytes each), up to this many, are broadcast to the scan that fetches them.
+BROADCAST_SAMPLES = 100_000
 
 
 class Node:
@@ -328,7 +330,9 @@ def extract_pages(df: DataFrame, sample: int = 8, key: str = "page_id", url: str
     pages = df.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("body"), host.alias("host"))
     pages = pages.withColumn("h", F.xxhash64("id", "url"))
     order = Window.partitionBy("host").orderBy("h")
-    few = pages.select("host", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("host", "h").distinct()
+    few = written(pages.select("host", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("host", "h").distinct())
+    if few.count() <= BROADCAST_SAMPLES:
+        few = F.broadcast(few)
     learnt = pages.join(few, ["host", "h"], "left_semi").select("host", "h", "body")
 
     def learn(key: tuple, t: pa.Table) -> pa.Table:
