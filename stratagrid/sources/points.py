@@ -81,3 +81,10 @@ def read_query_plan(spark: SparkSession, path: str, dataset: str | None = None)
 def query_boxes(spark: SparkSession, boxes: list[tuple]) -> DataFrame:
     """Closed boxes in time, latitude and longitude, a row each."""
     return spark.createDataFrame(boxes, BOX)
+
+
+def require_rows(df: DataFrame, n: int) -> DataFrame:
+    """df, or ValueError if it hasn't exactly n rows."""
+    if (found := df.count()) != n:
+        raise ValueError(f"{found} rows, {n} wanted")
+    return df
