@@ -15,16 +15,20 @@ from .common import components, remove, table, written
 WORDS_AT_A_TIME = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash: A-Z lower-cased, words split at ASCII white space, a shingle for every ``width`` words with
-    repeats (fewer words: all of them), XXH64 of each; a bit is 1 if set in over half. No words: 0."""
+#: Odd multipliers that make further 64-bit lanes of a shingle's hash (the first lane is the hash itself).
+LANES = tuple((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(1, 64))
+
+
+def bits_of(text: str | None, width: int, seed: int, lanes: int = 1) -> bytes:
+    """The SimHash bits of a text, 64 for each lane: A-Z lower-cased, words split at ASCII white space, a shingle for every
+    ``width`` words with repeats (fewer words: all of them), XXH64 of each; a bit is 1 if set in over half. No words: 0."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return bytes(8 * lanes)
     digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((lanes, 64), dtype=np.int64)
     for at in range(0, n, WORDS_AT_A_TIME):
         part = words[at : min(n, at + WORDS_AT_A_TIME) + width - 1]
         run = b" ".join(part)
@@ -32,9 +36,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         begins = np.concatenate(([0], ends[:-1] + 1))
         last = min(width, len(part)) - 1
         hashes = np.array([digest(run[a:b], seed) for a, b in zip(begins[: len(part) - last].tolist(), ends[last:].tolist(), strict=True)], dtype=np.uint64)
-        for k in range(0, len(hashes), 4096):
-            ones += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        for lane in range(lanes):
+            own = hashes if lane == 0 else (hashes ^ (hashes >> np.uint64(29))) * np.uint64(LANES[lane - 1])
+            own = own if lane == 0 else own ^ (own >> np.uint64(32))
+            for k in range(0, len(own), 4096):
+                ones[lane] += np.unpackbits(own[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones.ravel() > n, bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash as a number."""
+    return int.from_bytes(bits_of(text, width, seed), "little")
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -49,36 +61,37 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int, side: int = 256) -> list[tuple[int, int]]:
-    """Edges (larger, smaller) that join what lies within ``radius`` in one tile (right is None) or between two. Rows
-    are compared in squares of ``side``, by population count; a square whose counts all differ by more than the radius
-    is skipped. Every link is found; returned is one edge for each member of a group but its first."""
-    a = np.sort(left)
-    a = a[np.argsort(np.bitwise_count(a), kind="stable")]
-    b = a
-    if right is not None:
-        b = np.sort(right)
-        b = b[np.argsort(np.bitwise_count(b), kind="stable")]
-    pa_, pb = np.bitwise_count(a).astype(np.int16), np.bitwise_count(b).astype(np.int16)
-    n = len(a)
-    up = np.arange(n + (len(b) if right is not None else 0))
-    shift = n if right is not None else 0
-
-    def roots(x: np.ndarray) -> np.ndarray:
-        while (y := up[x])[up[y] != y].size:
-            up[x] = up[y]
-        return y
+def joined(a: np.ndarray, b: np.ndarray | None, radius: int, side: int = 256) -> list[tuple[int, int]]:
+    """Pairs of row numbers that join what lies within ``radius`` in one tile (b is None) or between two; rows of b count
+    on from those of a. Rows are prints of one or more 64-bit words. They are compared in squares of ``side``, by
+    population count; a square whose counts all differ by more than the radius is skipped. Every link is found; returned
+    is one pair for each member of a group but its first."""
+    def by_ones(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((x[:, 0], n))
+        return x[order], n[order], order
+
+    x, nx, ox = by_ones(a)
+    y, ny, oy = (x, nx, ox) if b is None else by_ones(b)
+    n = len(x)
+    shift = 0 if b is None else n
+    up = np.arange(n + (0 if b is None else len(y)))
+
+    def roots(v: np.ndarray) -> np.ndarray:
+        while (w := up[v])[up[w] != w].size:
+            up[v] = up[w]
+        return w
 
     for i in range(0, n, side):
-        x, px = a[i : i + side], pa_[i : i + side]
-        for j in range(i if right is None else 0, len(b), side):
-            py = pb[j : j + side]
-            if py[0] - px[-1] > radius:
+        for j in range(i if b is None else 0, len(y), side):
+            if ny[j] - nx[min(n, i + side) - 1] > radius:
                 break
-            if px[0] - py[-1] > radius:
+            if nx[i] - ny[min(len(y), j + side) - 1] > radius:
                 continue
-            hit = np.bitwise_count(x[:, None] ^ b[None, j : j + side]) <= radius
-            us, vs = np.nonzero(hit)
+            away = np.bitwise_count(x[i : i + side, None, 0] ^ y[None, j : j + side, 0]).astype(np.int64)
+            for k in range(1, x.shape[1]):
+                away += np.bitwise_count(x[i : i + side, None, k] ^ y[None, j : j + side, k])
+            us, vs = np.nonzero(away <= radius)
             us, vs = us + i, vs + j + shift
             while us.size:  # joins groups in parallel: each round halves their number at least
                 ru, rv = roots(us), roots(vs)
@@ -86,9 +99,17 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int, side: int =
                     break
                 us, vs, ru, rv = us[new], vs[new], ru[new], rv[new]
                 np.minimum.at(up, np.maximum(ru, rv), np.minimum(ru, rv))
-    every = a if right is None else np.concatenate((a, b))
-    top = roots(np.arange(len(every)))
-    return [(int(every[k]), int(every[t])) for k, t in enumerate(top.tolist()) if k != t]
+    name = ox if b is None else np.concatenate((ox, oy + n))
+    top = roots(np.arange(len(up)))
+    moved = np.flatnonzero(top != np.arange(len(up)))
+    return list(zip(name[moved].tolist(), name[top[moved]].tolist(), strict=True))
+
+
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int, side: int = 256) -> list[tuple[int, int]]:
+    """``joined`` for 64-bit prints, as pairs of prints."""
+    every = left if right is None else np.concatenate((left, right))
+    pairs = joined(left[:, None], None if right is None else right[:, None], radius, side)
+    return [(int(every[u]), int(every[v])) for u, v in pairs]
 
 
 def links(prints: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
@@ -164,6 +185,70 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return prints.join(names, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_links(prints: DataFrame, radius: int, tile: int = 512) -> DataFrame:
+    """Edges (u, v) of node numbers that join the prints (columns node long, fp binary, ones int) within ``radius`` that
+    agree in one 16-bit block at least. A bucket of equal blocks that fits is one tile; a larger one is dealt to tiles by
+    population count, in steps of the radius, and a hash; all pairs of its tiles are compared but those whose counts
+    differ by more than the radius. No bucket is capped."""
+    width = 4
+    h = F.hex("fp")
+    rows = prints.select("node", "fp", "ones", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("fp") * 2, F.lit(width)), lambda at: F.substring(h, at, F.lit(width)))).alias("block", "value"))
+    large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("block", "value")
+    step = F.floor(F.col("ones") / F.lit(radius + 1)).cast("int")
+    parts = rows.join(large, ["block", "value"]).groupBy("block", "value", step.alias("step")).agg(F.ceil(F.count("*") / tile).alias("parts"))
+    dealt = rows.withColumn("step", step).join(parts, ["block", "value", "step"], "left")
+    dealt = dealt.select("block", "value", F.when(F.col("parts").isNull(), -1).otherwise(F.col("step")).alias("step"), F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part"), "node", "fp")
+    tiles = dealt.groupBy("block", "value", "step", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+
+    def words(fps: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint64).reshape(len(fps), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            us, vs = [], []
+            for i in range(b.num_rows):
+                found = [b.column(c)[i].values for c in range(b.num_columns)]
+                nodes = found[0].to_pylist() + (found[2].to_pylist() if len(found) == 4 else [])
+                for u, v in joined(words(found[1]), words(found[3]) if len(found) == 4 else None, radius):
+                    us.append(nodes[u])
+                    vs.append(nodes[v])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    alone = tiles.where(F.size("nodes") > 1).select("nodes", "fps").mapInArrow(run, "u long, v long")
+    split = tiles.where("step >= 0")
+    other = split.select("block", "value", F.col("step").alias("step2"), F.col("part").alias("part2"), F.col("nodes").alias("nodes2"), F.col("fps").alias("fps2"))
+    pairs = split.join(other, ["block", "value"]).where((F.col("step2") - F.col("step")).between(0, 1) & ((F.col("step2") > F.col("step")) | (F.col("part2") > F.col("part"))))
+    return alone.union(pairs.select("nodes", "fps", "nodes2", "fps2").mapInArrow(run, "u long, v long"))
+
+
+def similar_documents(df: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, lanes: int = 8) -> DataFrame:
+    """(key, component_id) as ``near_duplicates`` has them, for links of texts that share the given part of their shingles
+    (Jaccard). 64 bits tell such texts from others only when they are almost equal, so prints have ``lanes`` times 64: at
+    a Jaccard similarity J, shingle counts have a cosine of 2 J / (1 + J), and bits differ with probability arccos / pi.
+    The radius is the expected difference at ``similarity`` and one standard deviation. Pairs are compared exactly, but
+    only those that agree in one of 4 * lanes blocks: with 8 lanes this finds 0.91 of the pairs at a similarity of 0.8,
+    0.98 at 0.85, 0.998 at 0.9. Nulls, ties, repeated keys and empty tables: as there."""
+    miss = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * lanes
+    radius = int(bits * miss + np.sqrt(bits * miss * (1 - miss)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [bits_of(t.as_py(), width, seed, lanes) for t in b.column(1)]
+            ones = np.bitwise_count(np.frombuffer(b"".join(found), dtype=np.uint64).reshape(len(found), lanes)).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), pa.array(ones)], names=["id", "fp", "ones"])
+
+    kind = df.schema[key].dataType.simpleString()
+    prints = written(df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp binary, ones int").withColumn("node", F.xxhash64("fp")))
+    nodes = written(prints.groupBy("node", "fp", "ones").agg(F.min("id").alias("least")))
+    reached = components(written(wide_links(nodes, radius)))
+    group = nodes.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
+    smallest = group.groupBy("group").agg(F.min("least").alias("component_id"))
+    names = written(group.join(smallest, "group").select("node", "component_id").distinct())
+    remove(nodes)
+    return prints.select("id", "node").join(names, "node").select(F.col("id").alias(key), "component_id")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: 3-word shingles, radius 3."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -96,3 +96,57 @@ def test_components_of_chains_stars_and_repeats(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 3), (3, 7), (5, 5), (-4, 900)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == grouped(pairs, {x for p in pairs for x in p})
+
+
+def jaccard(a, b):
+    of = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    x, y = of(a.split()), of(b.split())
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_at_0_8(spark):
+    from stratagrid.llm.simhash import similar_documents
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(2000)]
+    rows, want = [], {}
+    for i in range(120):
+        text = [rng.choice(words) for _ in range(rng.randrange(150, 400))]
+        rows.append((i, " ".join(text), 1, "x"))
+        near = list(text)
+        for _ in range(max(1, len(text) // 100)):  # about 1 % of the words: similarities about 0.9
+            near[rng.randrange(len(near))] = rng.choice(words)
+        rows.append((1000 + i, " ".join(near), 1, "x"))
+        want[1000 + i] = jaccard(rows[-2][1], rows[-1][1])
+        far = list(text)
+        for _ in range(len(text) // 8):
+            far[rng.randrange(len(far))] = rng.choice(words)
+        rows.append((2000 + i, " ".join(far), 1, "x"))
+    rows += [(3000, None, 1, "x"), (3001, "", 1, "x"), (None, rows[0][1], 1, "x")]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string, node int, fp string")).collect()}
+    close = [k for k, j in want.items() if j >= 0.85]
+    assert len(close) > 60 and sum(got[k] == k - 1000 for k in close) >= 0.97 * len(close)
+    assert all(got[k] == k for k in range(120)) and sum(got[2000 + i] == 2000 + i for i in range(120)) >= 118
+    assert got[3001] == got[3000] == 3000 and got[None] == 0
+    assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wide_links_with_small_tiles_lose_nothing(spark):
+    from stratagrid.llm.simhash import wide_links
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (6, 2), dtype=np.uint64)
+    rows = [bytes(b.tobytes()) for b in base]
+    for b in base:
+        for _ in range(30):
+            x = b.copy()
+            x[1] ^= np.uint64(1 << int(rng.integers(64)))
+            x[1] ^= np.uint64(1 << int(rng.integers(64)))
+            rows.append(x.tobytes())
+    rows = sorted(set(rows))
+    value = [int.from_bytes(r, "little") for r in rows]
+    want = [(i, j) for i in range(len(rows)) for j in range(i) if (value[i] ^ value[j]).bit_count() <= 3]
+    df = spark.createDataFrame([(i, bytearray(r), v.bit_count()) for i, (r, v) in enumerate(zip(rows, value, strict=True))], "node long, fp binary, ones int")
+    for tile in (4, 512):
+        got = [(r.u, r.v) for r in wide_links(df, 3, tile).collect()]
+        assert grouped(got, range(len(rows))) == grouped(want, range(len(rows)))
