@@ -185,6 +185,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return prints.join(names, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def few(buckets: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table of large buckets, written and counted: broadcast up to ``limit`` rows of under 40 bytes, so that the prints
+    are not shuffled to meet it; a longer one is joined as Spark sees fit."""
+    kept = written(buckets)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def wide_links(prints: DataFrame, radius: int, tile: int = 512) -> DataFrame:
     """Edges (u, v) of node numbers that join the prints (columns node long, fp binary, ones int) within ``radius`` that
     agree in one 16-bit block at least. A bucket of equal blocks that fits is one tile; a larger one is dealt to tiles by
@@ -193,9 +200,9 @@ def wide_links(prints: DataFrame, radius: int, tile: int = 512) -> DataFrame:
     width = 4
     h = F.hex("fp")
     rows = prints.select("node", "fp", "ones", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("fp") * 2, F.lit(width)), lambda at: F.substring(h, at, F.lit(width)))).alias("block", "value"))
-    large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("block", "value")
     step = F.floor(F.col("ones") / F.lit(radius + 1)).cast("int")
-    parts = rows.join(large, ["block", "value"]).groupBy("block", "value", step.alias("step")).agg(F.ceil(F.count("*") / tile).alias("parts"))
+    large = few(rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("block", "value"))
+    parts = few(rows.join(large, ["block", "value"]).groupBy("block", "value", step.alias("step")).agg(F.ceil(F.count("*") / tile).alias("parts")))
     dealt = rows.withColumn("step", step).join(parts, ["block", "value", "step"], "left")
     dealt = dealt.select("block", "value", F.when(F.col("parts").isNull(), -1).otherwise(F.col("step")).alias("step"), F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part"), "node", "fp")
     tiles = dealt.groupBy("block", "value", "step", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
