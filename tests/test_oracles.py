@@ -37,3 +37,12 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 8 and all(r.superset for r in rows)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nothing_else_imports_the_training_data_operators():
+    from pathlib import Path
+
+    root = Path(registry.__file__).resolve().parents[1]
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "llm" not in path.read_text(), path
