@@ -11,8 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows between the JVM and Python, which holds memory outside the heap on both sides.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by their bytes, as texts may be long, unless the session has a bound of its own."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +42,7 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of df, written once as a Parquet table in the shared folder and read from there: lineage ends here, and
     a lost executor costs no recomputation. The table is removed when the driver ends, or by ``remove``."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_delete, spark, path)
