@@ -150,3 +150,40 @@ def test_wide_links_with_small_tiles_lose_nothing(spark):
     for tile in (4, 512):
         got = [(r.u, r.v) for r in wide_links(df, 3, tile).collect()]
         assert grouped(got, range(len(rows))) == grouped(want, range(len(rows)))
+
+
+def test_similar_documents_on_both_sides_of_0_8(spark):
+    from stratagrid.llm.simhash import similar_documents
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows, want = [], {}
+    for i in range(600):
+        text = [rng.choice(words) for _ in range(300)]
+        near = list(text)
+        for k in range(6 if i < 300 else 7 + i % 3):  # apart from each other: each takes five shingles
+            near[10 + 30 * k] = "changed"
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(near))]
+        want[i] = jaccard(rows[-2][1], rows[-1][1])
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close, far = [i for i, j in want.items() if 0.80 <= j <= 0.85], [i for i, j in want.items() if 0.70 <= j < 0.80]
+    assert len(close) == 300 and len(far) == 300
+    assert sum(got[1000 + i] == i for i in close) >= 0.98 * len(close)
+    assert all(got[1000 + i] == 1000 + i for i in far)
+
+
+def test_chains_of_links_through_a_loose_group(spark):
+    from stratagrid.llm.simhash import similar_documents
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows, text = [], [rng.choice(words) for _ in range(400)]
+    for i in range(24):  # each four words from the one before, thus near, and ever further from the first
+        rows.append((i, " ".join(text)))
+        for k in range(4):
+            text[(16 * i + 4 * k) % 400] = f"new{i}x{k}"
+    rng.shuffle(rows)
+    texts = dict(rows)
+    edges = [(i, j) for i in texts for j in texts if i < j and jaccard(texts[i], texts[j]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(edges) >= 23 and set(got.values()) == {0}
