@@ -24,15 +24,20 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(ranks_file: str, pattern: str):
+#: The added token of byte_bpe_50k.json, which ``tokenizers`` finds in any text.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def encoder(ranks_file: str, pattern: str, special: dict[str, int] | None = None):
     """Text to token ids. tiktoken over the same byte-pair vocabulary gives the ids that ``tokenizers`` gives for the
-    .json file (tests hold the two against each other) in a third of the time. Special strings are ordinary text."""
+    .json file (tests hold the two against each other) in a third of the time. The strings in ``special`` are the tokens
+    named there, as with ``tokenizers`` at its defaults; others are ordinary text."""
     import tiktoken
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return own.encode_ordinary
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+    return (lambda text: own.encode(text, allowed_special="all")) if special else own.encode_ordinary
 
 
 def combinations(window: int) -> np.ndarray:
@@ -169,7 +174,7 @@ def placements(chosen: list[tuple[int, tuple[tuple[int, int, int], ...]]]) -> li
     return out
 
 
-def pack(df: DataFrame, window: int = 1024, key: str = "doc_id", text: str = "text", ranks: str = "byte_bpe_50k.tiktoken", end: int = 0) -> DataFrame:
+def pack(df: DataFrame, window: int = 1024, key: str = "doc_id", text: str = "text", ranks: str = "byte_bpe_50k.tiktoken", end: int = 0, special: dict[str, int] | None = SPECIAL) -> DataFrame:
     """One row for each piece of each row of df: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A row's ids are its text's, then ``end``. Full windows are sequences of their own. The rests, shorter than a window,
@@ -184,7 +189,7 @@ def pack(df: DataFrame, window: int = 1024, key: str = "doc_id", text: str = "te
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        encode = encoder(file, pattern)
+        encode = encoder(file, pattern, special)
         for b in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):  # ids of a few rows at a time
             n, crcs, rests = [], [], []
             for t in b.column(1):

@@ -85,3 +85,17 @@ def test_pack_against_the_ids_of_every_row(spark):
         assert g.offset.tolist() == [0, *np.cumsum(g["length"])[:-1]]
         assert g["length"].sum() == 64 or g["length"].sum() & (g["length"].sum() - 1) == 0
     assert P.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_special_strings_are_those_of_the_tokenizers_library_at_its_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n x", "<|endoftext| >", "no  such\n", "it's<|endoftext|>'s é  "]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    encode = P.encoder(P.vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, P.SPECIAL)
+    assert want[0] == [64, 220, 50256, 275] and [encode(x) for x in texts] == want
+    ids = np.array([*want[0], 0], dtype="<u4")
+    for r in P.pack(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), window=8).collect():
+        assert r.doc_tokens == 5 and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
