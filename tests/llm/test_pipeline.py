@@ -90,3 +90,28 @@ def test_exact_copies_with_line_crc(spark, folder):
     docs = spark.read.parquet(f"{at}/documents.parquet").where("doc_id in (0, 1000)")
     got = [r.text for r in C.dedup_lines(spark, docs, at).collect()]
     assert [zlib.crc32(x.encode()) for x in got] == [zlib.crc32(rows[0][1].encode())]
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_lines_go_from_rows_and_not_from_ids(spark):
+    line = lambda w: f"{w} " * 12 + "ends here"
+    rows = [(None, [line("nose"), line("pear")]), (None, [line("quay"), line("quiz")]), (1, [line("loom"), line("lamp")])]
+    rows += [(7, [line("loom"), line("mast")]), (7, [line("name"), line("nose")]), (7, [line("oven"), line("oars")])]
+    got = C.dedup_lines(spark, rows_of(spark, [(k, "\n".join(t)) for k, t in rows]), "").collect()
+    want = [*rows[:3], (7, [line("mast")]), (7, [line("name")]), rows[5]]
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted([(r.doc_id, r.text) for r in got], key=order) == sorted([(k, "\n".join(t)) for k, t in want], key=order)
+
+
+def test_documents_go_by_rows_and_not_by_ids(spark):
+    rng = random.Random(8)
+    text = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (8, text[1]), (7, text[2]), (7, text[3]), (7, text[3]), (None, text[4]), (None, text[4])]
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    got = [(r.doc_id, r.text) for r in C.dedup_documents(spark, rows_of(spark, rows), "").collect()]
+    assert sorted(got, key=order) == sorted([rows[0], *rows[2:5], rows[6]], key=order)
+    got = [(r.doc_id, r.text) for r in C.dedup_documents(spark, rows_of(spark, rows[:3]), "").collect()]
+    assert sorted(got, key=order) == sorted([rows[0], rows[2]], key=order)
