@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,14 +260,41 @@ add("counting_after_removal", "low:l items:l", lambda s, d: sketches.counting_lo
 add("bit_algebra", "event_type:s all_and:l all_or:l all_xor:l ones:l", lambda s, d: events(s, d).groupBy("event_type").agg(F.bit_and("user_id").alias("all_and"), F.bit_or("user_id").alias("all_or"), F.bit_xor("user_id").alias("all_xor"), F.sum(F.bit_count("user_id")).alias("ones")), "SELECT event_type, bit_and(user_id) AS all_and, bit_or(user_id) AS all_or, bit_xor(user_id) AS all_xor, sum(bit_count(user_id)) AS ones FROM events GROUP BY 1")
 
 
+#: Users that one set of order-dependent filters is sized for.
+FOLDED_USERS = 150
+
+
+def _ordered_filters() -> dict:
+    return {"spectral_min": sketches.SpectralMinimum(sketches.Cells(4, 4096), 16), "spectral_rm": sketches.SpectralRecurring(sketches.Cells(4, 4096), sketches.Cells(3, 2048, 7), 16), "bitwise": sketches.Bitwise(4, 8192, 12), "aging": sketches.AgingPair(4, 8192, 150), "stable": sketches.Stable(4, 8192, 3, 4)}
+
+
 def _fold_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order-dependent filters over the events of the users below 200, in id order: estimates of each user."""
-    items = [r.user_id for r in events(spark, sf_dir).where("user_id < 200").orderBy("event_id").select("user_id").collect()]
-    made = {"spectral_min": sketches.SpectralMinimum(sketches.Cells(4, 4096), 16), "spectral_rm": sketches.SpectralRecurring(sketches.Cells(4, 4096), sketches.Cells(3, 2048, 7), 16), "bitwise": sketches.Bitwise(4, 8192, 12), "aging": sketches.AgingPair(4, 8192, 150), "stable": sketches.Stable(4, 8192, 3, 4)}
-    for sketch in made.values():
-        sketches.fold(sketch, items)
-    rows = [(int(u), *(int(m.lookup(u)) for m in made.values())) for u in sorted(set(items))]
-    return spark.createDataFrame(rows, "user_id bigint, " + ", ".join(f"{n} bigint" for n in made))
+    """The order-dependent filters over all events, in id order: estimates of each user. Users are dealt by hash to parts
+    of about FOLDED_USERS, each with filters of its own; a part's events are read one after the other, never gathered."""
+    rows = events(spark, sf_dir).select("user_id", "event_id")
+    parts = max(1, -(-rows.select("user_id").distinct().count() // FOLDED_USERS))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts))).repartition("part").sortWithinPartitions("part", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, made, seen = None, {}, {}
+
+        def told() -> pa.RecordBatch:
+            users = pa.array(list(seen), pa.int64())
+            return pa.RecordBatch.from_arrays([users, *(pa.array([int(m.lookup(u)) for u in seen], pa.int64()) for m in made.values())], names=["user_id", *made])
+
+        for b in batches:
+            for part, user in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if part != now:
+                    if seen:
+                        yield told()
+                    now, made, seen = part, _ordered_filters(), {}
+                seen[user] = None
+                for m in made.values():
+                    m.add(user)
+        if seen:
+            yield told()
+
+    return dealt.select("part", "user_id").mapInArrow(run, "user_id bigint, " + ", ".join(f"{n} bigint" for n in _ordered_filters()))
 
 
 add("ordered_sketches", "user_id:l spectral_min:l spectral_rm:l bitwise:l aging:l stable:l", _fold_sketches, None)

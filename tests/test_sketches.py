@@ -51,3 +51,22 @@ def test_ordered_filters_never_count_too_little():
     assert all(aging.lookup(x) for x in range(85, 100)) and not any(aging.lookup(x) for x in range(50))
     fading = K.fold(K.Stable(4, 512, 3, 80), range(2000))
     assert fading.lookup(1999) > 0 and sum(fading.lookup(x) > 0 for x in range(200)) < 50
+
+
+def test_ordered_sketches_fold_every_event_in_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratagrid.plans import registry
+
+    rng = random.Random(6)
+    rows = [(i, 7 * rng.randrange(400)) for i in range(3000)]
+    spark.createDataFrame(rng.sample(rows, len(rows)), "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    users = sorted({u for _, u in rows})
+    parts = -(-len(users) // registry.FOLDED_USERS)
+    part = {r.u: r.p for r in spark.createDataFrame([(u,) for u in users], "u long").select("u", F.pmod(F.xxhash64("u"), F.lit(parts)).alias("p")).collect()}
+    made = {p: registry._ordered_filters() for p in range(parts)}
+    for _, u in rows:
+        for m in made[part[u]].values():
+            m.add(u)
+    want = [(u, *(int(m.lookup(u)) for m in made[part[u]].values())) for u in users]
+    assert parts > 1 and sorted(map(tuple, registry.QUERIES["ordered_sketches"](spark, str(tmp_path)).collect())) == want
