@@ -1,16 +1,21 @@
 """HTML extraction by wrapper induction: DOM trees of same-host pages are aligned by simple tree matching (Yang 1991);
-what stays constant becomes template, what varies becomes content."""
+what stays constant becomes template, what varies becomes content.
+
+Every page is folded to a tree of slots (repeated siblings are one slot). The trees of all pages of a host are merged
+into one template; merging is done in parts, on the executors, and holds one page and one template at a time. A slot
+keeps how many pages have it, how much text it holds, and the texts that all of them share. A page's text comes from the
+slots that vary, as its host's template says."""
 
 from __future__ import annotations
 
 import html as entities
 import json
 import re
-from collections.abc import Iterator
-from urllib.parse import urlsplit
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -23,30 +28,45 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 HOLDS = frozenset("ul ol dl table article section div main body td th".split())
-#: Elements that never hold an article's text.
+#: Elements that are never an article's text (menus, footers, forms, scripts, styles).
 NEVER = frozenset("head script style title textarea noscript iframe xmp template nav footer aside form button select option menu dialog svg canvas object audio video label input".split())
-#: Words of a class, id or role that mark what isn't the article.
-MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent notice alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments discussion replies reply disqus pagination pager toolbar search contentinfo complementary masthead topbar skip hidden".split())
+#: Of these, those that leave no gap between the words around them.
+NO_GAP = frozenset("script style template noscript".split())
+#: Words of a class, id or role that mark what isn't the article; a slot that holds nearly all varying text counts all the same.
+MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent notice alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar search contentinfo complementary masthead topbar skip".split())
+#: Words that mark what readers wrote, which may be more than the article, or what isn't shown.
+READERS = frozenset("comment comments discussion replies reply disqus hidden".split())
 #: Words that make a header the article's own.
 OWN = frozenset("article post entry story content".split())
-DEEPEST = 150
+#: Elements of text: all of one signature under a parent are one slot. Others are containers, told apart by their place.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th blockquote pre hr address figcaption summary".split())
+#: Containers: where the way to the article goes through, and what may be left beside it.
+BOXES = frozenset("html body div section main article center table tbody tr td th li ul ol dl header hgroup details fieldset figure nav footer aside form menu dialog".split())
 MAIN = ("article", "main")
-#: Sampled pages (host and hash, under 100 bytes each), up to this many, are broadcast to the scan that fetches them.
-BROADCAST_SAMPLES = 100_000
+DEEPEST = 150
+#: Slots under one parent; beyond, those of one tag are one slot. Bounds a template, whatever class names pages invent.
+WIDEST = 64
+#: Different pages that a slot must have before what they share counts as template.
+LEAST_PAGES = 3
+#: The share of the varying text that a container must hold for what stands beside it to be left out.
+HEAVY = 0.85
+#: Slots that a worker holds before it hands on what it has merged, or forgets templates it has read.
+HELD = 50_000
 
 
 class Node:
-    __slots__ = ("items", "off", "sig", "tag")
+    __slots__ = ("items", "off", "sig", "slot", "tag")
 
-    def __init__(self, tag: str, sig: str, off: bool) -> None:
+    def __init__(self, tag: str, sig: str, off: int) -> None:
         self.tag, self.sig, self.off = tag, sig, off
         self.items: list[str | Node] = []
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Ends of p, li, table cells and so on may be missing; strays are passed over; elements deeper
-    than DEEPEST hang from that depth, with their text."""
-    root = Node("", "", False)
+    than DEEPEST hang from that depth, with their text. Nodes have off 1 where a class marks them, 2 where they can't be
+    the article's."""
+    root = Node("", "", 0)
     stack, at, end = [root], 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -81,122 +101,113 @@ def parse(page: str) -> Node:
                     del stack[k:]
                 elif stack[k].tag in HOLDS and stack[k].tag not in over:
                     break
-        sig, off = tag, tag in NEVER
+        sig, off = tag, 2 if tag in NEVER else 0
         if m[3]:
             for a in ATTRIBUTE.finditer(m[3]):
                 what, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
                 if what in ("hidden", "aria-hidden"):
-                    off = off or what == "hidden" and tag not in MAIN or value == "true"
+                    if what == "hidden" and tag not in MAIN or value == "true":
+                        off = 2
                 else:
                     words = re.split(r"[^a-z]+", value)
-                    off = off or (tag not in ("html", "body", "article", "main") and (not MARKS.isdisjoint(words) or "header" in words and OWN.isdisjoint(words)))
+                    if tag not in ("html", "body", "article", "main"):
+                        if not READERS.isdisjoint(words):
+                            off = 2
+                        elif not MARKS.isdisjoint(words) or "header" in words and OWN.isdisjoint(words):
+                            off = max(off, 1)
                     if what != "id":
-                        sig += "." + value
+                        sig += "." + re.sub(r"\d+", "0", value)
         node = Node(tag, sig, off)
         stack[-1].items.append(node)
         if tag in RAW:
             stop = RAW_END[tag].search(page, at)
             at = stop.start() if stop else end
-            if tag == "title":
-                node.items.append("")
         if tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag != "hr":
             if len(stack) < DEEPEST:
                 stack.append(node)
     return root
 
 
-def tidy(parts: list[str]) -> str:
-    return " ".join(entities.unescape("".join(parts)).split())
-
-
-def blocks(node: Node, drop: frozenset[str] = frozenset(), heads_only: bool = False) -> Iterator[str]:
-    """The texts of the blocks under a node, in page order, without what is marked off, and without ``drop``."""
-    out: list[str] = []
+def segments(root: Node) -> list[tuple[Node, str, int]]:
+    """(block element, text, code points outside links) for every piece of text between the bounds of blocks, in page
+    order. References are decoded piece by piece; white space becomes one space. What can't be the article's is left
+    out, and of a header all but its headings."""
+    out: list[tuple[Node, str, int]] = []
     line: list[str] = []
+    linked = 0
 
-    def flush() -> None:
+    def flush(owner: Node) -> None:
+        nonlocal linked
         if line:
-            if (text := tidy(line)) and text not in drop:
-                out.append(text)
+            if text := " ".join("".join(line).split()):
+                out.append((owner, text, max(0, len(text) - linked)))
             line.clear()
+        linked = 0
 
-    def walk(n: Node, heads: bool) -> None:
-        for x in n.items:
+    def walk(node: Node, owner: Node, heads: bool, link: bool) -> None:
+        nonlocal linked
+        for x in node.items:
             if isinstance(x, str):
                 if not heads:
-                    line.append(x)
-            elif x.off:
-                line.append(" ")
-            elif x.tag == "br":
-                line.append(" ")
+                    text = entities.unescape(x)
+                    line.append(text)
+                    if link:
+                        linked += len(text.strip())
             elif x.tag in BLOCK:
-                flush()
-                # Of a header inside the article only its headings belong to the text.
-                walk(x, (heads or x.tag == "header") and x.tag not in ("h1", "h2", "h3"))
-                flush()
-            else:
-                walk(x, heads)
-
-    if node.tag in BLOCK or not node.tag:
-        walk(node, heads_only)
-    flush()
-    return iter(out)
-
-
-def size(node: Node, linked: bool = False) -> tuple[int, int]:
-    """Characters under a node outside and inside links, without what is marked off."""
-    plain = links = 0
-    for x in node.items:
-        if isinstance(x, str):
-            n = len(x.strip())
-            plain, links = (plain, links + n) if linked else (plain + n, links)
-        elif not x.off:
-            a, b = size(x, linked or x.tag == "a")
-            plain, links = plain + a, links + b
-    return plain, links
-
-
-def groups(node: Node) -> list[tuple[str, list[Node]]]:
-    """A node's child elements; neighbours of the same signature are one group."""
-    out: list[tuple[str, list[Node]]] = []
-    for x in node.items:
-        if not isinstance(x, str) and x.tag not in RAW:
-            if out and out[-1][0] == x.sig:
-                out[-1][1].append(x)
+                flush(owner)
+                if x.off < 2:
+                    walk(x, x, (heads or x.tag == "header") and x.tag not in ("h1", "h2", "h3"), link)
+                flush(x)
+            elif x.off or x.tag == "br":
+                if x.tag not in NO_GAP:
+                    line.append(" ")
             else:
-                out.append((x.sig, [x]))
+                walk(x, owner, heads, link or x.tag == "a")
+
+    walk(root, root, False, False)
+    flush(root)
     return out
 
 
 class Slot:
-    """A template node: one group of same-signature siblings, merged over pages."""
-
-    __slots__ = ("children", "pages", "plain", "sig", "tag", "texts", "off", "weight")
-
-    def __init__(self, sig: str, tag: str, off: bool) -> None:
-        self.sig, self.tag, self.off = sig, tag, off
-        self.children: list[Slot] = []
-        self.pages = self.plain = 0
-        self.texts: dict[str, int] = {}
-        self.weight = 0
-
-
-def likeness(slot: Slot, members: list[Node]) -> int:
-    """Simple tree matching: nodes in the largest order-keeping match of a template slot and a group (its first member
-    stands for the group)."""
-    if slot.sig != members[0].sig:
-        return 0
-    return 1 + _aligned(slot.children, groups(members[0]))[0]
-
-
-def _aligned(slots: list[Slot], found: list[tuple[str, list[Node]]]) -> tuple[int, list[tuple[int, int]]]:
-    """The best order-keeping match of slots and groups: its weight and pairs."""
-    if not slots or not found:
-        return 0, []
-    if len(slots) == len(found) and all(s.sig == g[0] for s, g in zip(slots, found, strict=True)) and len({s.sig for s in slots}) == len(slots):
-        return len(slots), [(k, k) for k in range(len(slots))]  # the same row of different children: no other match is as good
-    n, m = len(slots), len(found)
-    w = [[likeness(s, g[1]) for g in found] for s in slots]
+    """A place in a page or template: pages that have it, up to LEAST_PAGES of them by hash, code points of its own text
+    outside links in all pages, the texts that all these pages have there (hash, code points), and the slots below it."""
+
+    __slots__ = ("kids", "off", "pages", "plain", "same", "sig", "some", "tag", "to", "wide")
+
+    def __init__(self, sig: str, tag: str, off: int, some: list[int]) -> None:
+        self.sig, self.tag, self.off, self.some = sig, tag, off, some
+        self.pages, self.plain, self.wide = 1, 0, False
+        self.same: dict[int, int] = {}
+        self.kids: list[Slot] = []
+        self.to: Slot | None = None
+
+    def told(self) -> list:
+        return [self.sig, self.tag, self.off, self.some, self.pages, self.plain, self.wide, list(self.same.items()), [k.told() for k in self.kids]]
+
+
+def slot_of(told: list) -> Slot:
+    s = Slot(*told[:4])
+    s.pages, s.plain, s.wide = told[4:7]
+    s.same, s.kids = dict(map(tuple, told[7])), [slot_of(k) for k in told[8]]
+    return s
+
+
+def count(s: Slot) -> int:
+    return 1 + sum(map(count, s.kids))
+
+
+def best_pairs(a: Slot, b: Slot, memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two slots of the same signature: the number of slots in the largest match of their trees
+    that keeps parents and order, and which kids it pairs. No parent has over 2 * WIDEST kids. Each pair of slots is
+    compared once."""
+    at = (id(a), id(b))
+    if at in memo:
+        return memo[at]
+    wide = a.wide or b.wide
+    one, two = ([k.tag if wide else k.sig for k in s.kids] for s in (a, b))
+    n, m = len(one), len(two)
+    w = [[best_pairs(a.kids[i], b.kids[j], memo)[0] if one[i] == two[j] else 0 for j in range(m)] for i in range(n)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -211,154 +222,352 @@ def _aligned(slots: list[Slot], found: list[tuple[str, list[Node]]]) -> tuple[in
             i += 1
         else:
             j += 1
-    return best[0][0], pairs
-
-
-def merge(slot: Slot, members: list[Node]) -> None:
-    """Adds a page's group to a slot; children without a counterpart become new slots in their place."""
-    slot.pages += 1
-    here: set[str] = set()
-    for node in members:
-        own = [x if isinstance(x, str) else " " if x.off or x.tag == "br" else "".join(y for y in x.items if isinstance(y, str)) for x in node.items if isinstance(x, str) or x.tag not in BLOCK]
-        if (text := tidy(own)) and (node.tag in BLOCK or not node.tag):
-            here.add(text)
-        slot.plain += len(text)
-        found = groups(node)
-        pairs = _aligned(slot.children, found)[1]
-        put, taken = 0, {j: i for i, j in pairs}
-        matched = [(slot.children[i], found[j][1]) for i, j in pairs]
-        shift = 0
-        for j, (sig, inner) in enumerate(found):
+    memo[at] = 1 + best[0][0], pairs
+    return memo[at]
+
+
+def aligned(a: Slot, b: Slot, memo: dict) -> list[tuple[int, int]]:
+    """The kids that ``best_pairs`` pairs. Where each signature stands once on both sides and in one order, all that are
+    common are paired without a comparison: no match is larger."""
+    wide = a.wide or b.wide
+    one, two = ([k.tag if wide else k.sig for k in s.kids] for s in (a, b))
+    if one == two and len(set(one)) == len(one):
+        return [(k, k) for k in range(len(one))]
+    place = {s: i for i, s in enumerate(one)}
+    if len(place) == len(one) and len(set(two)) == len(two):
+        pairs = [(place[s], j) for j, s in enumerate(two) if s in place]
+        if all(p[0] < q[0] for p, q in zip(pairs, pairs[1:])):
+            return pairs
+    return best_pairs(a, b, memo)[1]
+
+
+def combine(a: Slot, b: Slot, across: bool, memo: dict | None = None) -> None:
+    """Adds b's tree to a's. ``across``: they come from different pages, and what both have is what they share; else they
+    are siblings of one page, and have what either has. Kids of b without a counterpart get a place of their own."""
+    memo = {} if memo is None else memo
+    pairs = aligned(a, b, memo)
+    if across:
+        a.pages += b.pages
+        a.some = sorted({*a.some, *b.some})[:LEAST_PAGES]
+        a.same = {h: n for h, n in a.same.items() if h in b.same}
+    else:
+        a.same.update(b.same)
+    a.plain += b.plain
+    a.off = min(a.off, b.off)
+    b.to = a
+    met, taken = [(a.kids[i], b.kids[j]) for i, j in pairs], {j: i for i, j in pairs}
+    if len(pairs) < len(b.kids):
+        put, shift = 0, 0
+        for j, kid in enumerate(b.kids):
             if j in taken:
                 put = taken[j] + shift + 1
             else:
-                new = Slot(sig, inner[0].tag, inner[0].off)
-                slot.children.insert(put, new)
+                a.kids.insert(put, kid)
                 put, shift = put + 1, shift + 1
-                matched.append((new, inner))
-        for child, inner in matched:
-            merge(child, inner)
-    for text in here:
-        slot.texts[text] = slot.texts.get(text, 0) + 1
-
-
-def induce(pages: list[str]) -> dict:
-    """A host's wrapper from sample pages: the path of signatures to the slot that holds the article, and the block
-    texts that stay constant in it. Where an article or main element holds text, the one with most is it; else it is the
-    deepest slot that holds 85 % of all text outside links and marked parts. Constant is what stands in a slot on every
-    page that has the slot, three different pages at least; if that is half of the text, the pages are copies of one
-    another and nothing counts as constant."""
-    top = Slot("", "", False)
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    for t in trees:
-        merge(top, [t])
-
-    def weigh(s: Slot) -> int:
-        s.weight = 0 if s.off or s.tag == "a" else s.plain + sum(map(weigh, s.children))
-        return s.weight
-
-    weigh(top)
-    best: tuple[int, list[Slot]] | None = None
-
-    def seek(s: Slot, path: list[Slot]) -> None:
-        nonlocal best
-        if s.off:
-            return
-        if s.tag in MAIN and s.weight and (best is None or s.weight > best[0]):
-            best = s.weight, path
-        for c in s.children:
-            seek(c, [*path, c])
-
-    seek(top, [])
-    if best is None:
-        path: list[Slot] = []
-        while (last := path[-1] if path else top) and (heavy := max(last.children, key=lambda c: c.weight, default=None)) is not None and heavy.weight >= 0.85 * top.weight and heavy.weight and (heavy.children or not path) and heavy.tag not in ("p", "h1"):
-            path.append(heavy)
-        best = top.weight, path
-    chosen = best[1][-1] if best[1] else top
-    constant: set[str] = set()
-
-    def look(s: Slot) -> None:
-        if s.pages >= 3 and not s.off:
-            constant.update(t for t, n in s.texts.items() if n >= s.pages)
-        for c in s.children:
-            look(c)
-
-    look(chosen)
-    if len(trees) < 3 or 2 * sum(map(len, constant)) * len(trees) > max(1, chosen.weight):
-        constant = set()
-    return {"path": [s.sig for s in best[1]], "drop": sorted(constant)}
-
-
-def extract(page: str | None, wrapper: dict) -> str:
-    """The article's text. The wrapper's path is followed through the page; where the page has no such slot, its own
-    article or main element, or its heaviest part, stands for it. Constant blocks are template and left out."""
-    root = parse(page or "")
-    now = [root]
-    for sig in wrapper["path"]:
-        now = [x for n in now for x in n.items if not isinstance(x, str) and x.sig == sig and not x.off]
-        if not now:
+    for x, y in met:
+        combine(x, y, across, memo)
+    a.wide = a.wide or b.wide
+    if len(a.kids) > WIDEST or a.wide:
+        widen(a, across)
+
+
+def widen(s: Slot, across: bool) -> None:
+    """Makes the kids of one tag one slot; what they share is then what all share."""
+    s.wide = True
+    kept: dict[str, Slot] = {}
+    for k in s.kids:
+        if k.tag in kept:
+            combine(kept[k.tag], k, across)
+            kept[k.tag].pages = min(kept[k.tag].pages, s.pages)
+        else:
+            kept[k.tag] = k
+    s.kids = list(kept.values())
+
+
+def fold(root: Node, pieces: list[tuple[Node, str, int]], page: int) -> Slot:
+    """A page's tree of slots; each block element learns its slot. Siblings of one signature are one slot if they are
+    elements of text, neighbours, or three or more."""
+    import xxhash
+
+    def build(node: Node) -> Slot:
+        s = node.slot = Slot(node.sig, node.tag, node.off, [page])
+        found: list[Node] = []
+        inner(node, found)
+        if found:
+            times: dict[str, int] = {}
+            for x in found:
+                times[x.sig] = times.get(x.sig, 0) + 1
+            first: dict[str, Slot] = {}
+            for x in found:
+                kid = build(x)
+                if s.kids and s.kids[-1].sig == x.sig:
+                    combine(s.kids[-1], kid, False)
+                elif (x.tag in TEXT or times[x.sig] > 2) and x.sig in first:
+                    combine(first[x.sig], kid, False)
+                else:
+                    s.kids.append(kid)
+                    first[x.sig] = kid
+            if len(s.kids) > WIDEST:
+                widen(s, False)
+        return s
+
+    def inner(node: Node, found: list[Node]) -> None:
+        """The blocks right below a node, through inline elements."""
+        for x in node.items:
+            if not isinstance(x, str):
+                if x.tag in BLOCK:
+                    if x.off < 2:
+                        found.append(x)
+                elif not x.off:
+                    inner(x, found)
+
+    top = build(root)
+    for owner, text, plain in pieces:
+        s = place(owner)
+        s.same[xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))] = plain
+        s.plain += plain
+    return top
+
+
+def place(node: Node) -> Slot:
+    s = node.slot
+    while s.to is not None:
+        s = s.to
+    return s
+
+
+def tree_of(page: str) -> tuple[Node, list[tuple[Node, str, int]], Slot]:
+    import xxhash
+
+    root = parse(page)
+    pieces = segments(root)
+    return root, pieces, fold(root, pieces, xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")))
+
+
+def constant(s: Slot) -> dict[int, int]:
+    """What all pages of a slot share, if LEAST_PAGES different ones have it."""
+    return s.same if len(s.some) >= LEAST_PAGES else {}
+
+
+def copies(top: Slot) -> bool:
+    """Whether pages of a template are copies of one another: they share more text than varies. Marked slots don't count,
+    unless they hold more text than all others."""
+
+    def sums(s: Slot, marked: bool) -> tuple[int, int]:
+        shared, every = s.pages * sum(constant(s).values()), s.plain
+        for k in s.kids:
+            if marked or not k.off:
+                x, y = sums(k, marked)
+                shared, every = shared + x, every + y
+        return shared, every
+
+    shared, every = sums(top, False)
+    whole = sums(top, True)
+    if whole[1] > 2 * every:
+        shared, every = whole
+    return 2 * shared > every
+
+
+def induce(pages: list[str]) -> Slot | None:
+    """The template of some pages; None without any."""
+    top = None
+    for page in pages:
+        found = tree_of(page)[2]
+        if top is None:
+            top = found
+        else:
+            combine(top, found, True)
+    return top
+
+
+def extract(page: str | None, template: Slot | None) -> str:
+    """The article's text: the blocks of the page's content slots, in page order, but those that are template.
+
+    The page's tree is aligned with the template. A slot weighs as much as the text that varies there, on average over
+    its pages. From the root, the way goes to the container that holds HEAVY of all weight, if nothing but other
+    containers and a varying h1 (which is kept) stands beside it; never below an article or main element. A slot that a
+    class marks weighs nothing, unless it has three times the weight of all others. Without a template of two different
+    pages, the page's own text weighs, and an article or main element with text is the container."""
+    root, pieces, own = tree_of(page or "")
+    match: dict[int, Slot] = {}
+    if template is not None and len(template.some) > 1:
+        memo: dict = {}
+
+        def pair(a: Slot, b: Slot) -> None:
+            match[id(b)] = a
+            for i, j in aligned(a, b, memo):
+                pair(a.kids[i], b.kids[j])
+
+        pair(template, own)
+    alone = not match
+    same = not alone and not copies(template)
+    shared = lambda s: constant(match[id(s)]) if same and id(s) in match else {}
+    weights: dict[int, float] = {}
+
+    def weigh(s: Slot) -> float:
+        t = match.get(id(s), s)
+        weights[id(s)] = max(0.0, t.plain / t.pages - sum(shared(s).values())) + sum(weigh(k) * (not k.off) for k in s.kids)
+        return weights[id(s)]
+
+    total = weigh(own)
+    marked: list[Slot] = []
+
+    def seek(s: Slot, wanted: Callable[[Slot], bool]) -> None:
+        for k in s.kids:
+            if wanted(k):
+                marked.append(k)
+            else:
+                seek(k, wanted)
+
+    seek(own, lambda k: k.off == 1)
+    for k in marked:
+        if weights[id(k)] > 3 * total and weights[id(k)] > 0:
+            k.off, total = 0, weigh(own)
+            break
+    now, heads = own, []
+    if alone:
+        marked.clear()
+        seek(own, lambda k: k.off or k.tag in MAIN and weights[id(k)] > 0)
+        now = max((k for k in marked if not k.off), key=lambda k: weights[id(k)], default=own)
+    box = lambda k: k.tag in BOXES and not (k.tag in TEXT and not k.kids)
+    while now.tag not in MAIN:
+        live = [k for k in now.kids if not k.off and weights[id(k)] > 0]
+        heavy = max(filter(box, live), key=lambda k: weights[id(k)], default=None)
+        if heavy is None or weights[id(heavy)] < HEAVY * total:
             break
-    if not now or not any(map(sum, map(size, now))):
-        own = json.loads(_own(page or ""))
-        now = [root]
-        for sig in own["path"]:
-            now = [x for n in now for x in n.items if not isinstance(x, str) and x.sig == sig and not x.off]
-    drop = frozenset(wrapper["drop"])
-    return "\n".join(b for n in now for b in blocks(n, drop))
+        if any(k.tag != "h1" and not box(k) for k in live) or weights[id(now)] - sum(weights[id(k)] for k in live) > 1e-9:
+            break
+        marked.clear()
+        for k in live:
+            if k.tag == "h1":
+                marked.append(k)
+            elif k is not heavy:
+                seek(k, lambda h: h.tag == "h1" and not h.off and weights[id(h)] > 0)
+        heads += marked
+        now = heavy
+    inside: set[int] = set()
+
+    def enter(s: Slot) -> None:
+        inside.add(id(s))
+        for k in s.kids:
+            if not k.off:
+                enter(k)
+
+    for s in (*heads, now):
+        enter(s)
+    if not same:
+        return "\n".join(text for owner, text, _ in pieces if id(place(owner)) in inside)
+    import xxhash
+
+    return "\n".join(text for owner, text, _ in pieces if id(s := place(owner)) in inside and xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) not in shared(s))
 
 
-def _own(page: str) -> str:
-    return json.dumps(induce([page]))
+def host_of(url: str) -> F.Column:
+    """The lower-case host of an address, null without one."""
+    found = F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.nullif(found, F.lit(""))
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def templates(pages: DataFrame, salts: int = 64) -> DataFrame:
+    """(host, pages, template) of every host of ``pages`` (host, body): the trees of all its pages, merged. Each task merges
+    what it reads and hands on one tree for each host it meets; these are merged in two steps, first within ``salts``
+    parts of a host, each in the order of the tasks that made them. One tree for a host is held at a time there."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held, turn = TaskContext.get().partitionId(), {}, 0, 0
 
-def extract_pages(df: DataFrame, sample: int = 8, key: str = "page_id", url: str = "url", body: str = "html", broadcast_bytes: int = 8 << 20) -> DataFrame:
+        def told() -> pa.RecordBatch:
+            rows = [(h, part % salts, part, turn, s.pages, json.dumps(s.told(), separators=(",", ":"))) for h, s in made.items()]
+            return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+
+        for b in batches:
+            for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                tree = tree_of(page.as_py())[2]
+                if host in made:
+                    combine(made[host], tree, True)
+                else:
+                    made[host] = tree
+                held += count(tree)
+                if held > HELD:
+                    held = sum(map(count, made.values()))
+                    if 2 * held > HELD:
+                        yield told()
+                        made, held, turn = {}, 0, turn + 1
+        if made:
+            yield told()
+
+    names = ["host", "salt", "part", "turn", "pages", "template"]
+    schema = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("part", pa.int64()), ("turn", pa.int64()), ("pages", pa.int64()), ("template", pa.string())])
+    kinds = "host string, salt int, part long, turn long, pages long, template string"
+
+    def merge(keys: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, top = None, None
+
+            def told() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pylist([dict(zip(names, (*now[:2], 0, 0, top.pages, json.dumps(top.told(), separators=(",", ":"))), strict=True))], schema)
+
+            for b in batches:
+                for row in b.to_pylist():
+                    at = (row["host"], row["salt"] if keys == 2 else 0)
+                    tree = slot_of(json.loads(row["template"]))
+                    if at == now:
+                        combine(top, tree, True)
+                        continue
+                    if now is not None:
+                        yield told()
+                    now, top = at, tree
+            if now is not None:
+                yield told()
+
+        return run
+
+    found = pages.mapInArrow(read, kinds)
+    found = found.repartition("host", "salt").sortWithinPartitions("host", "salt", "part", "turn").mapInArrow(merge(2), kinds)
+    found = found.repartition("host").sortWithinPartitions("host", "salt").mapInArrow(merge(1), kinds)
+    return written(found.select("host", "pages", "template"))
+
+
+def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", broadcast_bytes: int = 8 << 20, salted: int = 10_000) -> DataFrame:
     """One row for each row of df: key, url, text, n_chars (code points), over whole pages.
 
-    A host's wrapper is induced from ``sample`` of its pages at most (those with the least hashes: the bound of what is
-    learnt from); every page is then extracted. A host of one page, and a null url, have a wrapper of their own. Null
-    and empty pages give an empty text. Rows that repeat a key each have a row. Other columns are not carried. Empty
-    table: no rows."""
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    pages = df.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("body"), host.alias("host"))
-    pages = pages.withColumn("h", F.xxhash64("id", "url"))
-    order = Window.partitionBy("host").orderBy("h")
-    few = written(pages.select("host", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("host", "h").distinct())
-    if few.count() <= BROADCAST_SAMPLES:
-        few = F.broadcast(few)
-    learnt = pages.join(few, ["host", "h"], "left_semi").select("host", "h", "body")
-
-    def learn(key: tuple, t: pa.Table) -> pa.Table:
-        bodies = [b for _, b in sorted(zip(t["h"].to_pylist(), t["body"].to_pylist(), strict=True))][: 4 * sample]
-        return pa.table({"host": [key[0]], "wrapper": [json.dumps(induce(bodies))]})
-
-    wrappers = written(learnt.groupBy("host").applyInArrow(learn, "host string, wrapper string"))
-    total = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 64).alias("n")).first().n or 0
+    A host's template is merged from all its pages; every page is aligned with it. Pages whose url is null or has no
+    host, and the page of a host of one page, stand alone. Null and empty pages give an empty text. Repeated rows and
+    keys each have a row, and add no different page to a template. Other columns are not carried, whatever their names.
+    Empty table: no rows. Templates (one a host) are broadcast up to ``broadcast_bytes`` in sum; beyond, pages are dealt
+    by host and, for each ``salted`` pages of a host, a salt, and meet its template there."""
+    pages = df.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("body"), host_of(url).alias("host"))
+    known = templates(pages.where(F.col("host").isNotNull() & (F.col("body") != "")).select("host", "body"))
+    total = known.agg(F.sum(F.length("template") + F.length("host") + 64).alias("n")).first().n or 0
     if total <= broadcast_bytes:
-        wrappers = F.broadcast(wrappers)
+        met = pages.join(F.broadcast(known), "host", "left")
+    else:
+        parts = F.ceil(F.col("pages") / F.lit(salted)).cast("int")
+        dealt = known.select("host", "template", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        sizes = known.where(parts > 1).select(F.col("host").alias("_host"), parts.alias("_parts"))  # pages / salted hosts at most
+        salt = F.when(F.col("host").isNull(), -1 - F.pmod(F.xxhash64("body"), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64("id", "url"), F.coalesce("_parts", F.lit(1)))).cast("int")
+        met = pages.join(sizes.hint("broadcast") if sizes.count() <= salted else sizes, F.col("host") == F.col("_host"), "left").withColumn("salt", salt).join(dealt, ["host", "salt"], "left")
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, dict] = {}
+        memo: dict[str, Slot] = {}
+        held = 0
         for b in batches:
             texts = []
-            for page, wrapper in zip(b.column(2), b.column(3).to_pylist(), strict=True):
-                if len(memo) > 5000:
-                    memo.clear()
-                if wrapper not in memo:
-                    memo[wrapper] = json.loads(wrapper)
-                texts.append(extract(page.as_py(), memo[wrapper]))
+            for page, template in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+                top = None
+                if template is not None:
+                    if (top := memo.get(template)) is None:
+                        top = slot_of(json.loads(template))
+                        held += count(top)
+                        if held > HELD:
+                            memo.clear()
+                            held = count(top)
+                        memo[template] = top
+                texts.append(extract(page.as_py(), top))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    met = pages.join(wrappers, "host").select("id", F.col("url").cast("string").alias("url"), "body", "wrapper")
-    return met.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", key)
+    return met.select("id", "url", "body", "template").mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", key)
 
 
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
