@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a session in one process
+    gets a folder of its own; a cluster has no folder that all can see, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratagrid-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
