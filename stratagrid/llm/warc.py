@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,12 +23,19 @@ DATE = "1970-01-01T00:00:00Z"
 LEAST = 100
 #: Digests of repeated payloads, up to this many, are broadcast (about 100 bytes each); more are joined.
 BROADCAST_DIGESTS = 100_000
+#: Copies of one payload from which its rows don't meet by shuffle.
+HOT = 10_000
 CHUNKS = "archive string, record long, chunk int, chunks int, data binary, so_far string"
 _END = b"\r\n\r\n"
 
 
 def urn(page: object) -> str:
-    return f"<urn:x-page:{'null' if page is None else page}>"
+    """A key as a record identifier; keys may be texts of any characters, or null."""
+    return "<urn:x-null:>" if page is None else f"<urn:x-page:{quote(str(page), safe='')}>"
+
+
+def key_of(name: str | None) -> str | None:
+    return None if name is None or name == "<urn:x-null:>" else unquote(name[len("<urn:x-page:") : -1])
 
 
 def heads(page: object, url: str | None, size: int, digest: str, refers_to: object) -> bytes:
@@ -53,17 +61,27 @@ def chunks_of(page: object, url: str | None, payload: memoryview, digest: str, r
         yield many, data, running.copy().hexdigest()
 
 
-def write_records(df: DataFrame, chunk: int = 1 << 16, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+def write_records(df: DataFrame, chunk: int = 1 << 16, key: str = "page_id", url: str = "url", body: str = "html", broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """The chunk table of df's rows, a record each, stored in the shared folder. Of rows with equal payloads of LEAST
     bytes or more, those with the smallest key are responses and the others revisit it. Null bodies are empty, null keys
-    are never the smallest; other columns are not carried. Each Spark partition is one archive."""
+    are never the smallest, and payloads of null keys alone are all responses; rows that repeat a key are records each.
+    Control characters of an address are left out, its length is not bounded. Other columns are not carried, whatever
+    their names. Empty table: no rows. Each Spark partition is one archive. Digests of repeated payloads are broadcast up
+    to BROADCAST_DIGESTS; beyond, those of HOT copies or more still are, and the others are joined by shuffle."""
     rows = df.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("digest", F.sha2(F.encode("body", "UTF-8"), 256))
     sized = rows.where(F.octet_length("body") >= LEAST)
-    firsts = written(sized.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"))
-    if firsts.count() <= BROADCAST_DIGESTS:
-        firsts = F.broadcast(firsts)
-    told = rows.join(firsts, "digest", "left").select("id", "url", "body", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    firsts = written(sized.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"))
+    if firsts.count() <= broadcast_digests:
+        met = rows.join(F.broadcast(firsts.select("digest", "first")), "digest", "left")
+    else:
+        # Rows of payloads with very many copies find their first record by broadcast, and are dealt out by themselves.
+        hot = firsts.where(F.col("n") >= HOT).select("digest", F.col("first").alias("hot"))
+        met = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_DIGESTS else hot, "digest", "left")
+        met = met.withColumn("k", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("id", "url").cast("string")))
+        cold = firsts.where(F.col("n") < HOT).select(F.col("digest").alias("k"), F.col("first").alias("cold"))
+        met = met.join(cold, "k", "left").withColumn("first", F.coalesce("hot", "cold"))
+    told = met.select("id", "url", "body", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = f"part-{TaskContext.get().partitionId():06d}"
@@ -95,7 +113,8 @@ class Reader:
         """The record once its last chunk is in: (key text, payload bytes, digest, type, refers to). ValueError if a
         chunk is lost or repeated, or a length or digest is wrong."""
         if chunk == 0:
-            self.place, self.running, self.seen, left = (archive, record, 0), hashlib.sha256(), 0, bytes(data[: 1 << 16])
+            # The first chunk holds both headers, however long the address is, and no more than a chunk of the payload.
+            self.place, self.running, self.seen, left = (archive, record, 0), hashlib.sha256(), 0, bytes(data)
             warc, found, rest = left.partition(_END)
             http, found2, _ = rest.partition(_END)
             if not found or not found2 or not warc.startswith(b"WARC/1.1\r\n"):
@@ -121,9 +140,7 @@ class Reader:
         kind, digest = self.fields["WARC-Type"], self.fields["WARC-Payload-Digest"].removeprefix("sha256:")
         if self.seen != self.block or kind == "response" and (so_far != digest or self.seen != int(self.http["Content-Length"])):
             raise ValueError(f"{archive} {record}: length or digest of the payload")
-        name = lambda field: self.fields[field][len("<urn:x-page:") : -1] if field in self.fields else None
-        own = name("WARC-Record-ID")
-        return None if own == "null" else own, int(self.http["Content-Length"]), digest, kind, name("WARC-Refers-To")
+        return key_of(self.fields["WARC-Record-ID"]), int(self.http["Content-Length"]), digest, kind, key_of(self.fields.get("WARC-Refers-To"))
 
 
 def read_records(chunks: DataFrame, key_type: str = "bigint", key: str = "page_id") -> DataFrame:

@@ -58,3 +58,19 @@ def test_a_changed_or_lost_chunk_is_found(spark):
 
 def test_empty(spark):
     assert W.read_records(W.write_records(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_addresses_text_keys_and_many_digests(spark):
+    rows = [("null", "a" * 200, "http://h/" + "u" * 70000), ("a>b\r\nc é", "a" * 200, "http://h/\r\n\r\nx"), (None, "b" * 300, None), ("zz", "", "u" * 200000), ("x", "c" * 5000, "é" * 70000), ("y", "c" * 5000, "")]
+    df = spark.createDataFrame(rows, "page_id string, html string, url string")
+    want = sorted([("null", 200, "revisit", "a>b\r\nc é"), ("a>b\r\nc é", 200, "response", None), (None, 300, "response", None), ("zz", 0, "response", None), ("x", 5000, "response", None), ("y", 5000, "revisit", "x")], key=str)
+    for chunk, few in ((1 << 16, 10), (100, 0)):
+        got = W.read_records(W.write_records(df, chunk, broadcast_digests=few), "string").collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == want
+
+
+def test_hot_payloads_do_not_change_the_records(spark, monkeypatch):
+    monkeypatch.setattr(W, "HOT", 2)
+    got = W.read_records(W.write_records(frame(spark), broadcast_digests=0)).collect()
+    assert sorted(map(tuple, got), key=str) == want()
+    assert W.read_records(W.write_records(spark.createDataFrame([], SCHEMA))).count() == 0
