@@ -32,7 +32,9 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max
     smaller name counts. The table has BUCKETS + 1 rows at most."""
     known = labelled.where(F.col(key).isNotNull() & F.col("domain").isin(domains)).groupBy(F.col(key).alias("id")).agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64(F.lit("sample"), "id")).limit(max_labelled)
-    body = docs.select(F.col(key).alias("id"), F.array_distinct(words_of(text)).alias("words")).join(F.broadcast(chosen), "id").select("domain", "words")
+    # Written before it is cut into words: the optimizer would move that below the join, to all documents.
+    body = written(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").select("domain", "t").repartition(16))
+    body = body.select("domain", F.array_distinct(words_of("t")).alias("words"))
     counts = body.select("domain", F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)))
     counts = counts.union(body.groupBy(F.lit(-1).alias("b")).agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains))))
     rows = {r.b: [float(r[f"n{k}"] or 0) for k in range(len(domains))] for r in counts.collect()}  # BUCKETS + 1 at most
