@@ -49,7 +49,7 @@ def present(text: str | None, index: dict[str, int], memo: dict[str, tuple[int,
     return found
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 200, batch: int = 512, rate: float = 0.05, l1: float = 1e-3, beta: float = 0.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, l1: float = 5e-3, beta: float = 0.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * E+[l(g)] + max(0, Eu[l(-g)] - prior * E+[l(-g)]) with the logistic loss.
 
     Where the second part falls below -beta on a batch, the step goes up its gradient instead, which keeps a flexible
@@ -82,21 +82,34 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return w[:k].astype(np.float64), float(w[k])
 
 
-def shift_to_prior(scores: np.ndarray, prior: float) -> float:
-    """What to add to the bias so that about the prior's share of the unlabelled texts lies above zero: zero goes to the
-    middle of the widest gap between neighbouring scores whose ranks are 0.75 to 1.1 times the prior's."""
-    s = np.sort(scores)[::-1]
-    low, high = int(0.75 * prior * len(s)), min(len(s) - 1, int(1.1 * prior * len(s)) + 1)
-    if high <= max(low, 1):
-        return 0.0
-    gaps = s[max(low, 1) - 1 : high] - s[max(low, 1) : high + 1]
-    if gaps.max() <= 1e-9:
-        return 0.0
-    k = max(low, 1) + int(np.argmax(gaps))
-    return float(-(s[k - 1] + s[k]) / 2)
-
-
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int = 4000, max_unlabelled: int = 8000, max_features: int = 512, min_positive: int = 3, min_share: float = 0.015, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def least_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The score at which the non-negative estimate of the share of wrong decisions is least, on scores of texts that the
+    model has not learnt from: prior * (positives below) + max(0, unlabelled above - prior * (positives above)). It lies
+    half way between neighbouring scores; of equal ones the middle counts."""
+    s = np.unique(np.concatenate((positive, unlabelled)))
+    at = np.concatenate((s[:1] - 1, (s[1:] + s[:-1]) / 2, s[-1:] + 1))
+    above = lambda z: 1 - np.searchsorted(np.sort(z), at) / len(z)
+    caught = above(positive)
+    risk = prior * (1 - caught) + np.maximum(0, above(unlabelled) - prior * caught)
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    return float(at[best[len(best) // 2]])
+
+
+def fit_folds(positive: np.ndarray, unlabelled: np.ndarray, prior: float, folds: int = 4) -> tuple[np.ndarray, float]:
+    """Weights and bias, the means of those of ``folds`` models. Each is fitted without one fold, and its scores of that
+    fold set its bias. Too few positives for folds: one model with its own bias."""
+    if len(positive) < folds or len(unlabelled) < folds:
+        return fit_nnpu(positive, unlabelled, prior)
+    weights, biases = [], []
+    for k in range(folds):
+        p, u = np.arange(len(positive)) % folds == k, np.arange(len(unlabelled)) % folds == k
+        w, b = fit_nnpu(positive[~p], unlabelled[~u], prior)
+        weights.append(w)
+        biases.append(b - least_risk(positive[p] @ w + b, unlabelled[u] @ w + b, prior))
+    return np.mean(weights, axis=0), float(np.mean(biases))
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int = 4000, max_unlabelled: int = 8000, max_features: int = 512, min_positive: int = 3, min_share: float = 0.015, against: float = 4.0, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on rows where ``may_learn`` (a condition on the column ``key``) holds: at most ``max_positive`` rows labelled
     1 and ``max_unlabelled`` documents whose labels aren't looked at, each those with the least hashes of their keys
     (the sample's documented bounds). The class prior is the share of 1 among all labels that may be learnt from.
@@ -111,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int
     marked = known.where("y = 1").orderBy(mixed).limit(max_positive).select("id", F.lit(1).alias("y"))
     others = docs.select(key).where(F.col(key).isNotNull()).where(may_learn).select(F.col(key).alias("id")).distinct().orderBy(mixed).limit(max_unlabelled).select("id", F.lit(0).alias("y"))
     chosen = F.broadcast(marked.union(others))  # max_positive + max_unlabelled keys at most
-    body = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).join(chosen, "id").select("y", "t")
+    # The sample is found by all tasks of the scan, and written in a few parts.
+    body = written(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).join(chosen, "id").select("y", "t").repartition(16))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -123,15 +137,19 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int
         names = [*seen[1], *(seen[0].keys() - seen[1].keys())]
         yield pa.RecordBatch.from_pydict({"f": ["", *names], "p": [rows[1], *(seen[1][f] for f in names)], "u": [rows[0], *(seen[0][f] for f in names)]}, pa.schema([("f", pa.string()), ("p", pa.int64()), ("u", pa.int64())]))
 
-    both = written(body.coalesce(16).mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
+    both = written(body.mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
     total = both.where("f = ''").first()
     if total is None or not total.p or not total.u:
         return Model([], np.zeros(0), float(np.log(prior / (1 - prior))), prior)
     a, b = F.col("p") / float(total.p), F.col("u") / float(total.u)
     worth = (a - b) / F.sqrt(F.greatest((a + b) / 2, F.lit(1e-9)))
     lift = 1 + 0.5 * (1 / prior - 1)  # of the most that a feature of positive texts alone can have, 1 / prior
-    top = both.where((F.col("f") != "") & (F.col("p") >= max(min_positive, min_share * total.p)) & (a > lift * b)).orderBy(worth.desc(), "f").limit(max_features)
-    names = [r.f for r in top.select("f").collect()]
+    names_ = both.where(F.col("f") != "")
+    # Evidence for: over-represented in positives. Evidence against: ``against`` standard deviations rarer there.
+    top = names_.where((F.col("p") >= max(min_positive, min_share * total.p)) & (a > lift * b)).orderBy(worth.desc(), "f").limit(max_features)
+    rare = (b - a) / F.sqrt(F.greatest(b * (1 - b), F.lit(1e-9)) / float(total.p))
+    low = names_.where(rare >= against).orderBy(rare.desc(), "f").limit(max_features // 4)
+    names = [r.f for r in top.select("f").union(low.select("f")).collect()]
     index = {f: i for i, f in enumerate(names)}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int
         for i, x in enumerate(own):
             m[i, list(x)] = 1
         sides.append(m)
-    weights, bias = fit_nnpu(sides[0], sides[1], prior)
-    return Model(names, weights, bias + shift_to_prior(sides[1] @ weights + bias, prior), prior)
+    # In an order of their own, so that folds are mixed and do not depend on how the rows came.
+    sides = [m[np.random.default_rng(11).permutation(len(m))] for m in sides]
+    return Model(names, *fit_folds(sides[0], sides[1], prior), prior)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -29,11 +29,19 @@ def test_risk_stays_non_negative_and_separates():
     p = (rng.random((200, 8)) < np.array([0.9, 0.8] + [0.3] * 6)).astype(np.float32)
     n = (rng.random((800, 8)) < np.array([0.02, 0.02] + [0.3] * 6)).astype(np.float32)
     u = np.concatenate((n, p))
-    w, b = T.fit_nnpu(p, u, 0.2)
-    b += T.shift_to_prior(u @ w + b, 0.2)
+    w, b = T.fit_folds(p, u, 0.2)
     right = np.concatenate((n @ w + b < 0, p @ w + b >= 0)).mean()
     assert right > 0.93 and w[0] > 1 and w[1] > 1
-    assert T.shift_to_prior(np.zeros(50), 0.2) == 0.0
+    assert T.fit_folds(p[:2], u, 0.2)[0].shape == (8,)
+
+
+def test_least_risk_is_that_of_all_thresholds():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40):
+        p, u = rng.normal(1, 1, n).round(1), rng.normal(0, 1, 4 * n).round(1)
+        risk = lambda t: 0.3 * (p < t).mean() + max(0, (u >= t).mean() - 0.3 * (p >= t).mean())
+        assert abs(risk(T.least_risk(p, u, 0.3)) - min(risk(t) for t in np.arange(-6, 6, 0.025))) < 1e-9
+    assert T.least_risk(np.zeros(5), np.zeros(9), 0.2) == 1.0  # scores that tell nothing: nothing is toxic
 
 
 def test_held_out_rows_are_predicted_and_never_learnt_from(spark):
