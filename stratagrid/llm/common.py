@@ -90,6 +90,26 @@ def dense_positions(df: DataFrame, group: list[str], order: list[str], spread: C
     )
 
 
+def join_to(rows: DataFrame, facts: DataFrame, key: str, spread: Column, hot: int = 10_000, most_bytes: int = 8 << 20, row_bytes: Column | int = 64) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which has one row for each value of ``key`` and, in ``n``, how many rows have it.
+
+    Facts whose counted bytes are few are broadcast. Else those of keys with ``hot`` rows or more, which are few, still are
+    (their bytes are counted too), and their rows are dealt out by ``spread``; the others meet by shuffle. So no task gets
+    all rows of a hot key, and nothing is broadcast unmeasured."""
+    facts = written(facts)
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    sums = facts.agg(F.sum(size).alias("every"), F.sum(F.when(F.col("n") >= hot, size)).alias("hot")).first()
+    if (sums.every or 0) <= most_bytes:
+        return rows.join(F.broadcast(facts.drop("n")), key, "left")
+    values = [c for c in facts.columns if c not in (key, "n")]
+    few = facts.where(F.col("n") >= hot).select(F.col(key).alias("_key"), F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
+    met = rows.join(F.broadcast(few) if (sums.hot or 0) <= most_bytes else few, F.col(key) == F.col("_key"), "left")
+    met = met.withColumn("_spread", F.when(F.col("_hot"), F.pmod(spread, F.lit(1 << 20)) + 1).otherwise(F.lit(0)).cast("long"))
+    others = facts.where(F.col("n") < hot).select(key, F.lit(0).cast("long").alias("_spread"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    met = met.join(others, [key, "_spread"], "left")
+    return met.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u, v, both long; any order, repeats allowed): component is
     the smallest node reachable. Alternates the large-star and small-star steps, which need a number of rounds that is

@@ -1,18 +1,20 @@
 """Near-duplicate lines: a segment-partition edit join (PassJoin: Li, Deng, Wang and Feng 2011), in DataFrame operations only.
 
 Edit distances count code points. Two lines link when both have at least ``min_chars`` code points and their distance is
-at most ``distance``; shorter lines link with equal ones alone, as so few characters say little."""
+at most ``distance``; shorter lines (by default those under 6, of which two may have nothing in common at a distance of
+2) link with equal ones alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, remove, table, written
+from .common import components, join_to, remove, table, written
 
 #: Letters whose counts a line's histogram holds, a class each; all other characters are one more class. An edit changes
 #: the sum of the counts' differences by 2 at most, so a pair within the distance has a sum of twice the distance at most.
-LETTERS = "etnarosilhdcump gbfvwyk,.xj"
+#: Digits tell apart the lines that one template makes with numbers.
+LETTERS, DIGITS = "etnarosilhdcump gbfvwyk,.xj", "0123456789"
 #: Lines that share one segment hash: above this many the segment is crowded and its lines are told apart by histogram.
 CROWDED = 16
 #: Candidate ids up to this many (8 bytes each) are broadcast to the scan that fetches their lines; more are joined.
@@ -53,15 +55,16 @@ def probe_keys(distance: int) -> list[Column]:
 
 
 def histogram() -> Column:
-    """The counts of LETTERS and of the rest in a line."""
-    counts = [F.col("n_chars") - F.char_length(F.replace("line", F.lit(x), F.lit(""))) for x in LETTERS]
-    return F.array(*counts, F.char_length(F.translate("line", LETTERS, "")))
+    """The counts of LETTERS, of DIGITS and of the rest in a line."""
+    count = lambda x: F.col("n_chars") - F.char_length(F.replace("line", F.lit(x), F.lit("")))
+    with_digits = F.col("line").rlike("[0-9]")
+    return F.array(*map(count, LETTERS), *(F.when(with_digits, count(x)).otherwise(0) for x in DIGITS), F.char_length(F.translate("line", LETTERS + DIGITS, "")))
 
 
 def may_match(a: str, b: str, distance: int) -> Column:
     """Whether two histograms allow a distance; true for every pair within it."""
     total = F.lit(0)
-    for k in range(len(LETTERS) + 1):
+    for k in range(len(LETTERS) + len(DIGITS) + 1):
         total = total + F.abs(F.col(a)[k] - F.col(b)[k])
     return total <= 2 * distance
 
@@ -102,7 +105,7 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def edit_links(lines: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+def edit_links(lines: DataFrame, distance: int = 2, min_chars: int = 6) -> DataFrame:
     """(u, v, edits): every pair of different lines of ``lines_of`` within the distance, u < v by id.
 
     Each different line is reduced to its segment hashes before the first shuffle, so that a line that stands in a
@@ -149,7 +152,7 @@ def crowded_pairs(lines: DataFrame, index: DataFrame, probe: DataFrame, distance
     return left.join(right, ["key", "x", "y"]).where((F.col("id") != F.col("id2")) & may_match("h", "h2", distance)).select("id", "id2")
 
 
-def near_duplicate_lines(df: DataFrame, distance: int = 2, min_chars: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicate_lines(df: DataFrame, distance: int = 2, min_chars: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each line of each row of df: key, line_no (from 0), n_chars, class_doc_id and class_line_no (the first
     line, by key and number, that equal lines and links reach), n_links (different lines within the distance of this
     one), n_copies (rows with an equal line, this one included), first boolean (this is the class's first line).
@@ -165,9 +168,9 @@ def near_duplicate_lines(df: DataFrame, distance: int = 2, min_chars: int = 20,
     same = places.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("at"), F.count("*").alias("n_copies"))
     known = same.join(reached, same.id == reached.node, "left").drop("node").join(counts, "id", "left")
     known = written(known.select("id", "at", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component"))
-    tops = known.where("component is not null").groupBy("component").agg(F.min("at").alias("top"))
-    info = known.join(tops, "component", "left").select("id", "n_copies", "n_links", F.coalesce("top", "at").alias("top"))
-    return places.join(info, "id").select(
+    tops = known.where("component is not null").groupBy("component").agg(F.min("at").alias("top"), F.count("*").alias("n"))
+    info = join_to(known, tops, "component", F.col("id")).select("id", F.col("n_copies").alias("n"), "n_copies", "n_links", F.coalesce("top", "at").alias("top"))
+    return join_to(places, info, "id", F.xxhash64("doc", "line_no")).select(
         F.col("doc").alias(key), "line_no", "n_chars", F.col("top.doc").alias("class_doc_id"), F.col("top.line_no").alias("class_line_no"), "n_links", "n_copies",
         (F.col("top.doc").eqNullSafe(F.col("doc")) & (F.col("top.line_no") == F.col("line_no"))).alias("first"),
     )
