@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, remove, table, written
+from .common import components, join_to, remove, table, written
 
 #: Words looked at at a time: bounds memory for texts of any length.
 WORDS_AT_A_TIME = 1 << 16
@@ -127,17 +128,28 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int, side: int =
     return [(int(every[u]), int(every[v])) for u, v in pairs]
 
 
-def links(prints: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that join exactly what links within ``radius`` joins.
+def masks(n: int, radius: int, tile: int) -> list[int]:
+    """Bit masks, signed, such that two prints within the radius agree under one of them at least: all choices of some of
+    the blocks that the bits are cut into, with radius more blocks than are chosen. As many blocks are chosen as keep n
+    random prints at about a tile for each value, three at most."""
+    for agree in (1, 2, 3):
+        blocks = radius + agree
+        if n <= tile << (64 * agree // blocks):
+            break
+    own = [sum(1 << b for b in range(64 * k // blocks, 64 * (k + 1) // blocks)) for k in range(blocks)]
+    every = [sum(own[k] for k in kept) for kept in itertools.combinations(range(blocks), agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in every]
+
+
+def links(prints: DataFrame, radius: int = 3, tile: int = 1024, n: int | None = None) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp, n of them) that join exactly what links within ``radius``
+    joins.
 
-    The 64 bits are cut into radius+1 blocks; two prints within the radius agree in one block at least. The prints that
-    share a block are compared in tiles of about ``tile``: a bucket that fits is one tile; a larger one is dealt to
-    tiles by population count and a hash, and all pairs of its tiles are compared but those whose population counts
-    differ by more than the radius. No bucket is capped, and no task holds more than two tiles."""
-    blocks = radius + 1
-    bits = [64 * (k + 1) // blocks - 64 * k // blocks for k in range(blocks)]
-    low = [64 * k // blocks for k in range(blocks)]
-    cut = F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", low[k]).bitwiseAND(F.lit((1 << bits[k]) - 1)).alias("value")) for k in range(blocks)))
+    Prints that agree under a mask (see ``masks``) are compared in tiles of about ``tile``: a bucket that fits is one
+    tile; a larger one is dealt to tiles by population count and a hash, and all pairs of its tiles are compared but
+    those whose population counts differ by more than the radius. No bucket is capped, and no task holds more than two
+    tiles. With the number of prints the masks widen, so that buckets stay at about a tile."""
+    cut = F.array(*(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(masks(prints.count() if n is None else n, radius, tile))))
     rows = prints.select("fp", F.bit_count("fp").alias("ones"), F.explode(cut).alias("c")).select("c.block", "c.value", "ones", "fp")
     large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("block", "value")
     parts = (
@@ -188,16 +200,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     carried, whatever their names. Empty table: no rows. Texts and their copies meet as one fingerprint, so groups of
     copies cost no pairs."""
     prints = written(fingerprints(df, key, text, width, seed))
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     edges = written(links(nodes, radius, tile))
     reached = components(edges)
     remove(edges)
-    joined = nodes.join(reached, nodes.fp == reached.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    moved = joined.where(F.col("group") != F.col("fp")).select("group").distinct()
-    many = joined.join(moved, "group", "left_semi")
-    ids = many.groupBy("group").agg(F.min("least").alias("smallest"))
-    names = written(joined.join(ids, "group", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")))
-    return prints.join(names, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = nodes.join(reached, nodes.fp == reached.node, "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("group"))
+    ids = joined.groupBy("group").agg(F.min("least").alias("smallest"), F.count("*").alias("n")).where("n > 1")
+    names = join_to(joined, ids, "group", F.col("fp")).select("fp", "n", F.coalesce("smallest", "least").alias("component_id"))
+    return join_to(prints, names, "fp", F.xxhash64("id")).select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def few(buckets: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -281,9 +291,10 @@ def exact_links(nodes: DataFrame, found: DataFrame, sets: DataFrame, radius: int
     edges = None
     for _ in range(rounds):
         left = written(left)
-        heads = left.groupBy("component").agg(F.min("node").alias("head"))
+        heads = left.groupBy("component").agg(F.min("node").alias("head"), F.count("*").alias("n"))
         heads = heads.join(left.select(F.col("node").alias("head"), F.col("shingles").alias("those")), "head")
-        near = written(left.join(heads, "component").where(alike(similarity, "shingles", "those")).select(F.col("node").alias("u"), F.col("head").alias("v")))
+        met = join_to(left, heads, "component", F.col("node"), hot=1000, row_bytes=F.size("those") * 8 + 64)
+        near = written(met.where(alike(similarity, "shingles", "those")).select(F.col("node").alias("u"), F.col("head").alias("v")))
         edges = near if edges is None else edges.union(near)
         left = left.join(near.select(F.col("u").alias("node")), "node", "left_anti")
         if left.limit(1).count() == 0:
@@ -291,7 +302,7 @@ def exact_links(nodes: DataFrame, found: DataFrame, sets: DataFrame, radius: int
     heads = edges.select(F.col("u").alias("node"), F.col("v").alias("head"))
     labels = found.join(heads, "node", "left").select("node", "component", F.coalesce("head", "node").alias("label"))
     several = labels.groupBy("component").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("component")
-    open_ = written(labels.join(several, "component", "left_semi").select("node", "label"))
+    open_ = written(labels.join(few(several), "component", "left_semi").select("node", "label"))
     pairs = wide_links(nodes.join(open_, "node"), radius, label="label").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
     return edges.union(pairs.join(one, "u").join(two, "v").where(alike(similarity, "a", "b")).select("u", "v"))
@@ -328,18 +339,20 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, key: str = "doc_id
     kind = df.schema[key].dataType.simpleString()
     texts = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("text_id", F.xxhash64("t"))
     prints = written(texts.select("id", "t", "text_id").mapInArrow(run, f"id {kind}, fp binary, ones int, node long, text_id long"))
-    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("ones").alias("ones"), F.min("id").alias("least"), F.min("text_id").alias("text_id")))
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("ones").alias("ones"), F.min("id").alias("least"), F.count("*").alias("n"), F.min(F.struct("text_id", F.xxhash64("id").alias("id_hash"))).alias("one")))
     found = written(components(written(wide_links(nodes, radius))))
-    asked = nodes.join(found, "node", "left_semi").select("node", "text_id")
-    sets = texts.select("t", "text_id").join(asked, "text_id").groupBy("node").agg(F.first("t").alias("t"))
+    # Of a node's copies one row is asked for, so that hot texts don't meet.
+    asked = nodes.join(found, "node", "left_semi").select("node", "one.text_id", "one.id_hash")
+    sets = texts.select("t", "text_id", F.xxhash64("id").alias("id_hash")).join(asked, ["text_id", "id_hash"]).groupBy("node").agg(F.first("t").alias("t"))
     sets = written(sets.mapInArrow(sets_of, "node long, shingles array<long>"))
     reached = components(written(exact_links(nodes, found, sets, radius, similarity)))
     remove(sets)
-    group = nodes.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
-    smallest = group.groupBy("group").agg(F.min("least").alias("component_id"))
-    names = written(group.join(smallest, "group").select("node", "component_id").distinct())
+    group = nodes.join(reached, "node", "left").select("node", "n", "least", F.coalesce("component", "node").alias("group"))
+    smallest = group.groupBy("group").agg(F.min("least").alias("smallest"), F.count("*").alias("n")).where("n > 1")
+    names = join_to(group, smallest, "group", F.col("node")).select("node", "n", F.coalesce("smallest", "least").alias("component_id"))
+    found = join_to(prints.select("id", "node"), names, "node", F.xxhash64("id")).select(F.col("id").alias(key), "component_id")
     remove(nodes)
-    return prints.select("id", "node").join(names, "node").select(F.col("id").alias(key), "component_id")
+    return found
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

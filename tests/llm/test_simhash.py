@@ -66,8 +66,8 @@ def test_links_with_small_tiles_lose_nothing(spark):
     every = np.unique(np.concatenate([base, *(base ^ np.uint64(1 << k) for k in range(0, 64, 3)), np.array([k for k in range(1, 400)], dtype=np.uint64)]))
     want = [(int(a), int(b)) for i, a in enumerate(every) for b in every[:i] if bin(int(a) ^ int(b)).count("1") <= 3]
     prints = spark.createDataFrame([(int(x.view(np.int64)),) for x in every], "fp long")
-    for tile in (8, 1024):
-        got = [(r.u % 2**64, r.v % 2**64) for r in links(prints, 3, tile).collect()]
+    for tile, n in ((8, None), (1024, None), (1024, 1 << 30), (4, 1 << 40)):  # the last two as if there were so many prints
+        got = [(r.u % 2**64, r.v % 2**64) for r in links(prints, 3, tile, n).collect()]
         assert grouped(got, [int(x) for x in every]) == grouped(want, [int(x) for x in every])
 
 
@@ -86,6 +86,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(got.itertuples(index=False, name=None)) == want
 
 
+def test_masks_leave_no_pair_out():
+    from stratagrid.llm.simhash import masks
+
+    assert [len(masks(n, 3, 1024)) for n in (100, 1 << 26, 1 << 27, 1 << 36, 1 << 60)] == [4, 4, 10, 20, 20]
+    rng = np.random.default_rng(2)
+    for n in (100, 1 << 30, 1 << 40):
+        for _ in range(200):
+            away = sum(1 << int(k) for k in rng.choice(64, 3, replace=False))
+            assert any(m % 2**64 & away == 0 for m in masks(n, 3, 1024))
+
+
+def test_joins_with_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from stratagrid.llm.common import join_to
+
+    rows = spark.createDataFrame([(i, 7 if i < 300 else i % 40, f"x{i}") for i in range(600)] + [(900, None, None)], "id long, k long, n string")
+    facts = rows.where("k < 30").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).select("k", F.col("top"), "n")
+    want = None
+    for most, hot in ((1 << 20, 10), (0, 100), (70, 100), (0, 10_000)):
+        got = sorted(map(tuple, join_to(rows.drop("n"), facts, "k", F.col("id"), hot, most).select("id", "k", "top").collect()), key=str)
+        want = want or got
+        assert got == want and len(got) == 601
+
+
 def test_null_keys_and_empty_table(spark):
     got = near_duplicates(spark.createDataFrame([(None, "a b c"), (None, "zz yy xx ww"), (4, "a b c")], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(None, 4), (None, None), (4, 4)}
