@@ -16,8 +16,9 @@ CHUNK, QUERY_CHUNK = 4096, 512
 
 
 def vectors_of(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, v): the vectors that take part, as 8-byte floats. Null vectors and those with null or non-finite components,
-    of no length, or of another dimension than most (of two as frequent, the smaller) take no part."""
+    """(id, v): the vectors that take part, as 8-byte floats, scaled by a power of two to components of 1 at most, which
+    changes no cosine and lets no square overflow. Null vectors and those with null or non-finite components, of no length,
+    or of another dimension than most (of two as frequent, the smaller) take no part."""
     dims = df.where(F.size(column) > 0).groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = dims[0].d if dims else 0
     kind = df.schema[key].dataType.simpleString()
@@ -26,10 +27,10 @@ def vectors_of(df: DataFrame, key: str, column: str) -> DataFrame:
         for b in batches:
             flat = b.column(1).flatten()
             x = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            with np.errstate(over="ignore", invalid="ignore"):
-                norm = np.sqrt((x * x).sum(axis=1))
-            ok = np.isfinite(norm) & (norm > 0)
-            raw = [r.tobytes() for r in x[ok]]
+            most = np.abs(x).max(axis=1, initial=0)
+            ok = np.isfinite(x).all(axis=1) & (most > 0)
+            x, most = x[ok], most[ok]
+            raw = [r.tobytes() for r in np.ldexp(x, -np.frexp(most)[1][:, None])]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(raw, pa.binary())], names=["id", "v"])
 
     found = df.where(F.col(key).isNotNull() & F.col(column).isNotNull() & (F.size(column) == dim)).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("x"))
@@ -71,48 +72,44 @@ class Graph:
 
     def __init__(self, centroids: np.ndarray, degree: int = 16, far: int = 4, entries: int = 8, seed: int = 5) -> None:
         self.c, n, rng = centroids, len(centroids), np.random.default_rng(seed)
-        near = np.argsort(-(centroids @ centroids.T), axis=1, kind="stable")[:, 1 : degree + 1] if n > 1 else np.zeros((1, 0), dtype=np.int64)
-        ring = ((np.arange(n)[:, None] + 1) % n) if n > 1 else np.zeros((1, 0), dtype=np.int64)  # so that all can be reached
-        self.edges = np.concatenate([near, ring, rng.integers(0, n, (n, far))], axis=1)
+        near = np.concatenate([np.argsort(-(centroids[i : i + 1024] @ centroids.T), axis=1, kind="stable")[:, 1 : degree + 1] for i in range(0, n, 1024)])
+        own = np.arange(n)[:, None]
+        edges = np.concatenate([near, (own + 1) % n, rng.integers(0, n, (n, far))], axis=1)  # a ring, so that all can be reached
+        order = np.argsort(edges, axis=1, kind="stable")
+        again = np.zeros(edges.shape, dtype=bool)
+        np.put_along_axis(again, order[:, 1:], np.take_along_axis(edges, order[:, 1:], 1) == np.take_along_axis(edges, order[:, :-1], 1), 1)
+        self.edges = np.where(again, own, edges)
         self.entries = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(np.int64))
 
-    def search(self, x: np.ndarray, ratio: float, width: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """Distances of unit vectors to the centroids that a best-first walk sees (inf: not seen), and the least of each.
-        A walk goes on while its nearest unexpanded centroid is among the ``width`` nearest seen or within ``ratio`` of
-        the nearest. All vectors walk in step."""
-        n, k = len(x), len(self.c)
-        dist = np.full((n, k), np.inf)
-        todo = np.zeros((n, k), dtype=bool)
-        dist[:, self.entries] = np.sqrt(np.maximum(0, 2 - 2 * x @ self.c[self.entries].T))
-        todo[:, self.entries] = True
-        top = np.full((n, width), np.inf)
-        seed = np.sort(dist[:, self.entries], axis=1)[:, :width]
-        top[:, : seed.shape[1]] = seed
+    def search(self, x: np.ndarray, ratio: float, width: int = 96, explore: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` nearest centroids that a best-first walk sees, for each unit vector: numbers and distances, nearest
+        first (-1 and inf: no more). A walk goes on while its nearest unexpanded centroid is among the ``explore`` nearest
+        or within ``ratio`` of the nearest. All vectors walk in step; a walk holds ``width`` centroids, whatever their
+        number, and compares those next to one at a step."""
+        n = len(x)
+        ids, dist = np.full((n, width), -1), np.full((n, width), np.inf)
+        done = np.zeros((n, width), dtype=bool)
+        first = np.sqrt(np.maximum(0, 2 - 2 * x @ self.c[self.entries].T))
+        order = np.argsort(first, axis=1, kind="stable")[:, :width]
+        ids[:, : order.shape[1]], dist[:, : order.shape[1]] = self.entries[order], np.take_along_axis(first, order, 1)
         live = np.arange(n)
         while live.size:
-            open_ = np.where(todo[live], dist[live], np.inf)
-            best = open_.argmin(axis=1)
-            d = open_[np.arange(len(live)), best]
-            go = np.isfinite(d) & (d <= np.maximum(top[live, -1], ratio * top[live, 0]))
-            live, best = live[go], best[go]
+            open_ = ~done[live] & (ids[live] >= 0)
+            at = open_.argmax(axis=1)
+            d = dist[live, at]
+            go = open_.any(axis=1) & ((at < explore) | (d <= ratio * dist[live, 0]))
+            live, at = live[go], at[go]
             if not live.size:
                 break
-            todo[live, best] = False
-            to = self.edges[best]
-            new = np.isinf(dist[live[:, None], to])
+            done[live, at] = True
+            to = self.edges[ids[live, at]]
             away = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ikj->ik", x[live], self.c[to])))
-            away = np.where(new, away, np.inf)
-            rows, cols = np.nonzero(new)
-            dist[live[rows], to[rows, cols]] = away[rows, cols]
-            todo[live[rows], to[rows, cols]] = True
-            first = np.sort(to, axis=1)  # an edge met twice in one step counts once
-            if (first[:, 1:] == first[:, :-1]).any():
-                order = np.argsort(to, axis=1, kind="stable")
-                again = np.zeros_like(new)
-                np.put_along_axis(again, order[:, 1:], np.take_along_axis(to, order[:, 1:], 1) == np.take_along_axis(to, order[:, :-1], 1), 1)
-                away = np.where(again, np.inf, away)
-            top[live] = np.sort(np.concatenate([top[live], away], axis=1), axis=1)[:, :width]
-        return dist, top[:, 0]
+            away[(to[:, :, None] == ids[live][:, None, :]).any(axis=2)] = np.inf
+            every, names, known = np.concatenate([dist[live], away], axis=1), np.concatenate([ids[live], to], axis=1), np.concatenate([done[live], np.zeros(to.shape, dtype=bool)], axis=1)
+            order = np.argsort(every, axis=1, kind="stable")[:, :width]
+            dist[live], ids[live], done[live] = (np.take_along_axis(z, order, 1) for z in (every, names, known))
+            ids[live] = np.where(np.isinf(dist[live]), -1, ids[live])
+        return ids, dist
 
 
 def best_of(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -154,17 +151,45 @@ def brute_force(vectors: DataFrame, queries: list[tuple[int, bytes]], dim: int,
     return top(vectors.mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
+def chunks(rows: DataFrame, key: list[str], size: int, **lists: str) -> DataFrame:
+    """The rows of each key in chunks of about ``size``: arrays under the names given, of the columns given."""
+    parts = written(rows.groupBy(*key).agg(F.ceil(F.count("*") / size).alias("parts")))
+    own = F.coalesce("parts", F.lit(1))
+    large = parts.where("parts > 1")  # few: a key for every ``size`` rows at most
+    large = F.broadcast(large) if large.count() <= 100_000 else large
+    return rows.join(large, key, "left").groupBy(*key, F.pmod(F.xxhash64("id"), own).alias("part")).agg(*(F.collect_list(c).alias(n) for n, c in lists.items())).drop("part")
+
+
+def sub_lists(postings: DataFrame, sizes: list[tuple[int, int]], dim: int, list_size: int, sample: int) -> DataFrame:
+    """(cell, centroids) of the cells of ``sizes`` (cell, rows): each is fitted, on an executor, on about ``sample`` of
+    its vectors (those whose hashes of ids fall in a share), and cut into lists of about ``list_size``, as far as an
+    eighth of the sample goes."""
+    told = F.broadcast(postings.sparkSession.createDataFrame(sizes, "cell int, n long"))
+    some = postings.join(told, "cell").where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.ceil(F.col("n") / sample).cast("long")) == 0)
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = unit(matrix([v for _, v in sorted(zip(t["id"].to_pylist(), t["v"].to_pylist(), strict=True))], dim))
+        c = balanced_centroids(x, max(1, min(round(t["n"][0].as_py() / list_size), len(x) // 8)))
+        return pa.table({"cell": pa.array([t["cell"][0].as_py()], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())})
+
+    return written(some.groupBy("cell").applyInArrow(fit, "cell int, centroids binary"))
+
+
 def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", column: str = "embedding", list_size: int = 512, max_lists: int = 4096, sample: int = 20_000, replicas: int = 2, reach: float = 1.1, recall: float = 0.96, calibrate: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose key meets ``is_query`` (a column condition on ``id``), its k
     nearest others by cosine, as found; all of them where there are no more than k.
 
-    Centroids are fitted on ``sample`` vectors at most (those with the least hashes of their keys: the documented bound).
-    Every vector goes to its nearest list, and to up to replicas-1 more whose centroids are within ``reach`` times the
-    nearest distance. A query reads the lists within a ratio of its nearest centroid's distance, and more until these
-    hold 16 k vectors. The ratio is set from ``calibrate`` vectors whose exact neighbours are found by brute force: it is
-    the least that finds the share ``recall`` of these. Lists of any size are cut into chunks that are compared in
-    different tasks; nothing is capped. Which vectors take no part: see ``vectors_of``. Null keys take no part; vectors
-    that share a key aren't each other's neighbours, and count once. Other columns are not carried. Empty table: no rows."""
+    Centroids of cells are fitted on ``sample`` vectors at most (those with the least hashes of their keys: the documented
+    bound), ``max_lists`` and an eighth of the sample at most, and held in an in-memory graph. Every vector goes to its
+    nearest cell, and to up to replicas-1 more whose centroids are within ``reach`` times the nearest distance. A cell of
+    more than twice ``list_size`` vectors is cut into lists in the same way, each vector to its nearest list and to
+    others within reach: so the number of lists grows with the table. A query reads the cells within a ratio of its
+    nearest centroid's distance, and more until these hold 16 k vectors; of their lists, those within a second ratio of its
+    nearest list. The ratios are set from ``calibrate`` vectors, whose exact neighbours are found by brute force and which
+    take the way that queries take: they are the least that find the share ``recall`` of these neighbours. Lists of any
+    size are cut into chunks that are compared in different tasks; nothing is capped. Which vectors take no part: see
+    ``vectors_of``. Null keys take no part; vectors that share a key aren't each other's neighbours, and count once. Other
+    columns are not carried, whatever their names. Empty table: no rows."""
     spark = df.sparkSession
     vectors = vectors_of(df.withColumn(key, F.col(key).cast("long")), key, column)
     n = vectors.count()
@@ -176,56 +201,97 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", column: st
     x = unit(matrix([bytes(r.v) for r in learnt], dim))
     graph = Graph(balanced_centroids(x, max(1, min(max_lists, round(n / list_size), len(x) // 8 or 1))))
 
-    def lists_for(u: np.ndarray) -> list[np.ndarray]:
-        dist, least = graph.search(u, reach)
-        by = np.argsort(dist, axis=1, kind="stable")[:, :replicas]
-        near = np.take_along_axis(dist, by, 1)
-        return [row[(d <= reach * m) | (np.arange(len(row)) == 0)] for row, d, m in zip(by, near, least, strict=True)]
+    def spread(dist: np.ndarray) -> np.ndarray:
+        """Which of the distances, nearest first, a vector goes to."""
+        keep = dist[:, :replicas] <= reach * dist[:, :1]
+        keep[:, 0] = True
+        return keep
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                to = lists_for(unit(matrix(part.column(1), dim)))
-                rows = np.repeat(np.arange(part.num_rows), [len(t) for t in to])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "id", "v"])
+                ids, dist = graph.search(unit(matrix(part.column(1), dim)), reach)
+                rows, cols = np.nonzero(spread(dist))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows, cols].astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["cell", "id", "v"])
 
-    postings = written(vectors.mapInArrow(assign, "list int, id long, v binary"))
+    postings = written(vectors.mapInArrow(assign, "cell int, id long, v binary"))
     sizes = np.zeros(len(graph.c), dtype=np.int64)
-    for r in postings.groupBy("list").count().collect():  # max_lists rows at most
-        sizes[r["list"]] = r["count"]
+    for r in postings.groupBy("cell").count().collect():  # max_lists rows at most
+        sizes[r["cell"]] = r["count"]
+    large = [(int(i), int(sizes[i])) for i in np.flatnonzero(sizes > 2 * list_size)] if sizes.mean() > 2 * list_size else []
+    postings = postings.withColumn("list", F.lit(0))
+    if large:
+        fits = sub_lists(postings, large, dim, list_size, 16 * list_size)
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids, raw, c = b.column("ids")[i].values, b.column("vs")[i].values, matrix([b.column("centroids")[i]], dim)
+                    for j in range(0, len(ids), 512):
+                        dist = np.sqrt(np.maximum(0, 2 - 2 * unit(matrix(raw.slice(j, 512), dim)) @ c.T))
+                        by = np.argsort(dist, axis=1, kind="stable")[:, :replicas]
+                        rows, cols = np.nonzero(spread(np.take_along_axis(dist, by, 1)))
+                        at = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b.column("cell")[i].as_py(), dtype=np.int32)), ids.slice(j, 512).take(at), raw.slice(j, 512).take(at), pa.array(by[rows, cols].astype(np.int32))], names=["cell", "id", "v", "list"])
+
+        whole = postings.join(fits.select("cell"), "cell", "left_anti")
+        cut = chunks(postings.select("cell", "id", "v"), ["cell"], CHUNK, ids="id", vs="v").join(fits, "cell").select("cell", "ids", "vs", "centroids")
+        postings = written(whole.select("cell", "id", "v", "list").union(cut.mapInArrow(split, "cell int, id long, v binary, list int")))
+
+    def route(queries: DataFrame, one: float, two: float) -> DataFrame:
+        """(cell, list, id, v, d): the lists that queries read, and their centroids' distances."""
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    part = b.slice(i, 256)
+                    ids, dist = graph.search(unit(matrix(part.column(1), dim)), one)
+                    held = np.where(ids >= 0, sizes[ids], 0)
+                    keep = np.isfinite(dist) & ((dist <= one * dist[:, :1] + 1e-12) | (np.cumsum(held, axis=1) - held < 16 * k * replicas))
+                    rows, cols = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows, cols].astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(dist[rows, cols]), pa.array(np.zeros(len(rows), dtype=np.int32))], names=["cell", "id", "v", "d", "list"])
+
+        found = queries.mapInArrow(cells, "cell int, id long, v binary, d double, list int")
+        if not large:
+            return written(found)
+        found = written(found)
+
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids, raw, c = b.column("ids")[i].values, b.column("vs")[i].values, matrix([b.column("centroids")[i]], dim)
+                    dist = np.sqrt(np.maximum(0, 2 - 2 * unit(matrix(raw, dim)) @ c.T))
+                    rows, cols = np.nonzero(dist <= two * dist.min(axis=1, keepdims=True) + 1e-12)
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b.column("cell")[i].as_py(), dtype=np.int32)), ids.take(at), raw.take(at), pa.array(dist[rows, cols]), pa.array(cols.astype(np.int32))], names=["cell", "id", "v", "d", "list"])
+
+        whole = found.join(fits.select("cell"), "cell", "left_anti").select("cell", "id", "v", "d", "list")
+        cut = chunks(found.select("cell", "id", "v"), ["cell"], QUERY_CHUNK, ids="id", vs="v").join(fits, "cell").select("cell", "ids", "vs", "centroids")
+        every = written(whole.union(cut.mapInArrow(lists, "cell int, id long, v binary, d double, list int")))
+        least = every.groupBy("id").agg((F.min("d") * two + 1e-12).alias("most"))
+        return written(every.join(least, "id").where("d <= most").select("cell", "id", "v", "d", "list"))
 
     tried = [(r.id, bytes(r.v)) for r in learnt[:: max(1, len(learnt) // calibrate)][:calibrate]]
     true = brute_force(vectors, tried, dim, k).collect()
-    need = []
+    one = two = 1.0
     if true:
-        wanted = spark.createDataFrame(sorted({(r.vec_id,) for r in true}), "id long")
-        held = {r.id: bytes(r.v) for r in vectors.join(F.broadcast(wanted), "id", "left_semi").collect()}
-        own = dict(tried)
-        q = unit(matrix([own[r.query_id] for r in true], dim))
-        there = lists_for(unit(matrix([held[r.vec_id] for r in true], dim)))
-        away = np.sqrt(np.maximum(0, 2 - 2 * q @ graph.c.T))
-        need = [d[t].min() / max(d.min(), 1e-12) for d, t in zip(away, there, strict=True)]
-    ratio = float(np.quantile(need, recall, method="higher")) * (1 + 1e-9) if need else 1.0
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                dist, least = graph.search(unit(matrix(part.column(1), dim)), ratio)
-                by = np.argsort(dist, axis=1, kind="stable")
-                near = np.take_along_axis(dist, by, 1)
-                before = np.cumsum(sizes[by], axis=1) - sizes[by]
-                keep = np.isfinite(near) & ((near <= ratio * least[:, None] + 1e-12) | (before < 16 * k * replicas))
-                rows, cols = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(by[rows, cols].astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "id", "v"])
-
-    asked = written(vectors.where(is_query).mapInArrow(route, "list int, id long, v binary"))
-
-    def chunks(rows: DataFrame, size: int, ids: str, vs: str) -> DataFrame:
-        """A list's rows in chunks of about ``size``."""
-        parts = rows.groupBy("list").agg(F.ceil(F.count("*") / size).alias("parts"))
-        return rows.join(F.broadcast(parts), "list").groupBy("list", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list("id").alias(ids), F.collect_list("v").alias(vs)).drop("part")
+        asked = spark.createDataFrame(tried, "id long, v binary")
+        wanted = F.broadcast(spark.createDataFrame([(r.query_id, r.vec_id) for r in true], "query_id long, vec_id long"))
+        lists_of = written(postings.join(wanted, postings.id == wanted.vec_id).select("query_id", "vec_id", "cell", "list"))
+
+        def needed(ways: DataFrame, by: list[str], share: float) -> float:
+            """The ratio within which the share of the neighbours is met."""
+            first = ways.groupBy("id").agg(F.min("d").alias("least"))
+            met = lists_of.join(ways.join(first, "id").select(F.col("id").alias("query_id"), *by, (F.col("d") / F.greatest("least", F.lit(1e-12))).alias("r")), ["query_id", *by])
+            need = [r.r for r in met.groupBy("query_id", "vec_id").agg(F.min("r").alias("r")).collect()]
+            need += [max(need, default=1.0)] * (len(true) - len(need))
+            return float(np.quantile(need, share, method="higher")) * (1 + 1e-9)
+
+        one = needed(cells_only(asked, graph, dim), ["cell"], (1 + recall) / 2 if large else recall)
+        two = needed(route(asked, one, 1e9), ["cell", "list"], (1 + recall) / 2) if large else 1.0
+
+    asked = route(vectors.where(is_query), one, two)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,10 +299,20 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", column: st
                 vid, v, qid, q = (b.column(c)[i].values for c in ("ids", "vs", "qids", "qs"))
                 yield scored(best_of(matrix(q, dim), qid.to_numpy(), matrix(v, dim), vid.to_numpy(), k))
 
-    pairs = chunks(postings, CHUNK, "ids", "vs").join(chunks(asked, QUERY_CHUNK, "qids", "qs"), "list").select("ids", "vs", "qids", "qs")
+    at = ["cell", "list"]
+    pairs = chunks(postings, at, CHUNK, ids="id", vs="v").join(chunks(asked, at, QUERY_CHUNK, qids="id", qs="v"), at).select("ids", "vs", "qids", "qs")
     return top(pairs.mapInArrow(compare, "query_id long, vec_id long, score double"), k)
 
 
+def cells_only(queries: DataFrame, graph: Graph, dim: int) -> DataFrame:
+    """(id, cell, d): all cells that the walk of a few queries sees."""
+    rows = []
+    for r in queries.collect():
+        ids, dist = graph.search(unit(matrix([bytes(r.v)], dim)), 1e9)
+        rows += [(r.id, int(i), float(d)) for i, d in zip(ids[0], dist[0], strict=True) if i >= 0]
+    return queries.sparkSession.createDataFrame(rows, "id long, cell int, d double")
+
+
 def op7_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every 50th vector among all."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)

@@ -52,16 +52,46 @@ def test_what_takes_no_part_and_small_tables(spark):
     assert N.nearest(df.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_any_magnitude_takes_part(spark):
+    x = np.random.default_rng(5).normal(size=(40, 4))
+    scale = np.array([1e200, 1e-200, 1.0, 5e-324, 1e308])
+    big = [(i, [float(y) for y in x[i] / np.abs(x[i]).max() * scale[i % 5]]) for i in range(40)]
+    got = N.nearest(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, list_size=1000).toPandas()
+    plain = np.array([np.ldexp(np.array(v), -np.frexp(np.abs(v).max())[1]) for _, v in big])
+    want = exact(plain, list(range(40)), range(0, 40, 10), 5)
+    assert {q: g.sort_values("rank").vec_id.tolist() for q, g in got.groupby("query_id")} == want and got.score.between(-1 - 1e-12, 1 + 1e-12).all()
+
+
+def test_large_cells_are_cut_into_lists(spark, monkeypatch):
+    """As on a table far larger than the sample: two levels of lists, and the recall of the real walk."""
+    monkeypatch.setattr(N, "CHUNK", 200)
+    monkeypatch.setattr(N, "QUERY_CHUNK", 7)
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(4000, 12)) + 2 * rng.normal(size=(30, 12))[rng.integers(0, 30, 4000)]).astype(np.float32)
+    ids = np.arange(4000)
+    cut = []
+    inner = N.sub_lists
+    monkeypatch.setattr(N, "sub_lists", lambda *a: cut.append(len(a[1])) or inner(*a))
+    got = N.nearest(spark.createDataFrame(rows_of(x, ids), SCHEMA), F.col("id") % 20 == 0, list_size=32, max_lists=12, sample=1000).toPandas()
+    assert cut and cut[0] >= 6
+    want = exact(x.astype(np.float64), ids, range(0, 4000, 20), 5)
+    found = {q: set(g.vec_id) for q, g in got.groupby("query_id")}
+    assert set(found) == set(want) and np.mean([len(found[q] & set(want[q])) / 5 for q in want]) >= 0.9
+
+
 def test_graph_walk_finds_the_nearest_centroids():
     rng = np.random.default_rng(2)
     c = N.unit(rng.normal(size=(500, 24)))
     x = N.unit(rng.normal(size=(200, 24)))
-    dist, least = N.Graph(c).search(x, 1.1)
+    ids, dist = N.Graph(c).search(x, 1.1)
     true = np.sqrt(2 - 2 * x @ c.T)
-    assert (np.abs(least - true.min(axis=1)) < 1e-9).mean() > 0.97
-    inside = true <= 1.1 * true.min(axis=1)[:, None]
-    assert (np.isfinite(dist) & inside).sum() / inside.sum() > 0.97
-    assert np.allclose(dist[np.isfinite(dist)], true[np.isfinite(dist)])
+    assert (np.abs(dist[:, 0] - true.min(axis=1)) < 1e-9).mean() > 0.97
+    inside = (true <= 1.1 * true.min(axis=1)[:, None]).sum(axis=1).clip(max=96)
+    assert (dist <= 1.1 * true.min(axis=1)[:, None]).sum() / inside.sum() > 0.97
+    assert np.allclose(dist[ids >= 0], np.take_along_axis(true, ids, 1)[ids >= 0]) and (np.diff(dist, axis=1)[np.isfinite(dist[:, 1:])] >= 0).all()
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in ids)
+    ids, dist = N.Graph(c[:1]).search(x[:3], 1.1)
+    assert (ids[:, 0] == 0).all() and (ids[:, 1:] == -1).all()
 
 
 def test_lists_are_balanced():
