@@ -60,6 +60,12 @@ def _cover(level: int, px: int, py: int, levels: int, leaf: tuple[int, int, int,
                 yield from _cover(level + 1, ix, iy, levels, leaf)
 
 
+def leaf_cells(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """The cells of the last level alone, from x0 to x1 and y0 to y1: an array of (ix, iy)."""
+    row = lambda ix: F.transform(F.sequence(y0, y1), lambda iy: F.struct(ix.alias("ix"), iy.alias("iy")))
+    return F.flatten(F.transform(F.sequence(x0, x1), row))
+
+
 def code_text(level: Column, ix: Column, iy: Column, bounds: tuple[float, float, float, float]) -> Column:
     """'lat,lon,level' of a cell's centre, six digits each."""
     a, b, c, d = bounds

@@ -29,6 +29,14 @@ def dyadic_path(v: Column, height: int) -> Column:
     return F.filter(every, lambda r: (v >= 0) & (v < 1 << height) & (r["lo"] >= 0))
 
 
+def dyadic_path_length(v: Column, height: int) -> Column:
+    """How many ranges ``dyadic_path`` has: a block for each level, and a middle half wherever the two bits below a
+    level's highest differ."""
+    v = v.cast("bigint")
+    middles = F.bit_count(v.bitwiseXOR(F.shiftright(v, 1)).bitwiseAND(F.lit((1 << max(0, height - 1)) - 1)))
+    return F.when((v >= 0) & (v < 1 << height), middles + height + 1).otherwise(F.lit(0)).cast("bigint")
+
+
 def dyadic_cover(a: Column, b: Column) -> Column:
     """The smallest canonical range that holds [a, b], a <= b: a struct (lo, hi)."""
     a, b = a.cast("bigint"), b.cast("bigint")
@@ -66,9 +74,10 @@ def _product(w: int, xs: Column, ys: Column, zs: Column) -> Column:
     return F.flatten(F.flatten(F.transform(xs, lambda p: F.transform(ys, lambda q: F.transform(zs, lambda r: cube(p, q, r))))))
 
 
-def staggered_cover(low: tuple[Column, Column, Column], high: tuple[Column, Column, Column], width: int) -> Column:
+def staggered_cover(low: tuple[Column, Column, Column], high: tuple[Column, Column, Column], width: int, aligned_only: bool = False) -> Column:
     """One canonical cube that holds the cells [low, high) (exclusive ends): the least width 2^k >= the longest side at
-    which, on each axis, the aligned start or the one half a width on holds both ends; else the whole."""
+    which, on each axis, the aligned start or (unless ``aligned_only``) the one half a width on holds both ends; else the
+    whole."""
     side = F.greatest(*(h - l for l, h in zip(low, high, strict=True)), F.lit(1))
     result = F.struct(F.lit(width).cast("bigint").alias("w"), *(F.lit(0).cast("bigint").alias(n) for n in "xyz"))
     w = width // 2
@@ -78,7 +87,7 @@ def staggered_cover(low: tuple[Column, Column, Column], high: tuple[Column, Colu
         for l, h in zip(low, high, strict=True):
             aligned = F.floor(l / F.lit(w)).cast("bigint") * w
             at = F.when(h <= aligned + w, aligned)
-            if w > 1:
+            if w > 1 and not aligned_only:
                 late = F.floor(l / F.lit(half)).cast("bigint") * half
                 at = at.when((h <= late + w) & (late <= width - w), late)
             starts.append(at)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.functions.clock import DAY_SECONDS, abs_slot, floor_div
-from stratagrid.operators.ranks import hinted, id_part, rank_within
+from stratagrid.operators.ranks import id_part, rank_within
 
 #: Parts of the range of ids that a second's records are dealt to when they are numbered.
 PARTS = 256
@@ -111,10 +111,18 @@ def local_ranges(bucketed: DataFrame, queries: DataFrame, slot_seconds: int = 60
 
 
 def locate(buckets: DataFrame, times: DataFrame) -> DataFrame:
-    """For each ts of ``times``, the first bucket that ends at or after its slot's start (null: none)."""
-    slot_start = F.expr("floor(ts / 600.0) * 600").cast("bigint")
-    met = hinted(times.distinct()).join(buckets, F.col("end_ts") >= slot_start, "left")
-    return met.groupBy("ts").agg(F.min("bucket_id").alias("bucket_id"))
+    """For each ts of ``times``, the first bucket that ends at or after its slot's start (null: none). A bucket answers for
+    the slot starts after the end of the one before it, up to its own end; both sides are dealt to days, so that the join
+    is by equality. What lies before all buckets is the first one's."""
+    ends = buckets.select((F.col("bucket_id") + 1).alias("bucket_id"), F.col("end_ts").alias("before"))
+    spans = buckets.join(ends, "bucket_id", "left").select("bucket_id", (F.coalesce("before", F.col("start_ts") - 1) + 1).alias("a"), F.col("end_ts").alias("b"))
+    spans = spans.where("a <= b")  # of buckets that end in one second the first has it
+    first = buckets.agg(F.min("start_ts").alias("first"))
+    days = F.explode(F.sequence(floor_div(F.col("a"), DAY_SECONDS), floor_div(F.col("b"), DAY_SECONDS)))
+    asked = times.distinct().join(F.broadcast(first)).withColumn("at", F.greatest(floor_div(F.col("ts"), 600) * 600, F.col("first")))
+    met = asked.withColumn("day", floor_div(F.col("at"), DAY_SECONDS)).join(spans.withColumn("day", days), "day", "left")
+    inside = F.col("at").between(F.col("a"), F.col("b"))
+    return met.groupBy("ts").agg(F.min(F.when(inside, F.col("bucket_id"))).alias("bucket_id"))
 
 
 def bucket_stats(buckets: DataFrame) -> DataFrame:

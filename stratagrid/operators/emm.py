@@ -5,9 +5,11 @@ AES. A client sends tokens; the server derives the labels of entries 0, 1, ... a
 
 from __future__ import annotations
 
+import statistics
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagrid.functions import crypto
@@ -72,10 +74,32 @@ def storage(index: DataFrame) -> DataFrame:
 
 
 class EncryptedStore:
-    """Build once, query by label, measure."""
-
-    def __init__(self, postings: DataFrame, keys: Keys = Keys()) -> None:
-        self.keys, self.index, self.counts = keys, build(postings, keys), token_counts(postings, keys)
+    """Build once, store, query by label, measure."""
+
+    def __init__(self, postings: DataFrame | None, keys: Keys = Keys(), index: DataFrame | None = None, counts: DataFrame | None = None) -> None:
+        self.keys = keys
+        self.index = build(postings, keys) if index is None else index
+        self.counts = token_counts(postings, keys) if counts is None else counts
+
+    def save(self, path: str) -> EncryptedStore:
+        """Writes the index and the counts, and returns the store that reads them."""
+        self.index.write.mode("overwrite").parquet(f"{path}/index")
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
+        return self.load(self.index.sparkSession, path, self.keys)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, keys: Keys = Keys()) -> EncryptedStore:
+        return cls(None, keys, spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/counts"))
+
+    def benchmark(self, keywords: DataFrame, repeats: int = 3) -> dict[str, float]:
+        """Seconds of a query of all ``keywords`` (the median of ``repeats``), its rows, and the index's entries and bytes."""
+        times = []
+        for _ in range(repeats):
+            began = time.time()
+            rows = self.query(keywords).count()
+            times.append(time.time() - began)
+        size = self.size().first()
+        return {"seconds": statistics.median(times), "rows": rows, "entries": size.entries, "bytes": size.label_bytes + size.value_bytes}
 
     def query(self, keywords: DataFrame) -> DataFrame:
         return decrypt(lookup(self.index, tokens(keywords, self.keys), self.counts), self.keys)

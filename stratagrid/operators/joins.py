@@ -7,10 +7,12 @@ exists. So the search is a hash join of numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratagrid.functions.cells import point_cells
 from stratagrid.functions.crypto import key64
+from stratagrid.operators.ranks import id_part, rank_within
 from stratagrid.operators.truth import in_boxes
 
 
@@ -34,13 +36,14 @@ def value_key(value: Column, secret: str = "z") -> Column:
     return key64(F.lit(secret), value.cast("string"))
 
 
-def build_masked(rows: DataFrame) -> DataFrame:
+def build_masked(rows: DataFrame, value: str | None = None) -> DataFrame:
     """(keyword, i, masked, record_id) of (keyword, join_key, record_id): one entry for each keyword and join value, with
-    the group's records; i numbers a keyword's join values."""
-    order = Window.partitionBy("keyword").orderBy("join_key")
-    numbered = rows.select("keyword", "join_key").distinct().withColumn("i", F.row_number().over(order))
+    the group's records; i numbers a keyword's join values from 1, in parts of the range of values, so that no task holds
+    a hot keyword. ``value``, if given, is a column that is carried along."""
+    distinct = rows.select("keyword", "join_key").distinct()
+    numbered = rank_within(distinct, ["keyword"], ["join_key"], id_part(distinct, "join_key"), "i").withColumn("i", (F.col("i") + 1).cast("int"))
     entries = numbered.select("keyword", "join_key", "i", mask(F.col("keyword"), F.col("i")).bitwiseXOR(value_key(F.col("join_key"))).alias("masked"))
-    return rows.join(entries, ["keyword", "join_key"]).select("keyword", "i", "masked", "record_id")
+    return rows.join(entries, ["keyword", "join_key"]).select("keyword", "i", "masked", "record_id", *([value] if value else []))
 
 
 def build_keys(rows: DataFrame) -> DataFrame:
@@ -51,9 +54,36 @@ def build_keys(rows: DataFrame) -> DataFrame:
 def masked_join(entries: DataFrame, keys2: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, record_id): entries under the query's keywords (query_id, keyword, keyword2) whose value, with the first
     keyword's mask taken off and the second's put on, is a key of table 2."""
+    return _hits(entries, asked).join(keys2, "x", "left_semi").select("query_id", "record_id").distinct()
+
+
+def _hits(entries: DataFrame, asked: DataFrame) -> DataFrame:
     met = entries.join(asked, "keyword")
     x = F.col("masked").bitwiseXOR(mask(F.col("keyword"), F.col("i"))).bitwiseXOR(mask(F.col("keyword2"), F.lit(0)))
-    return met.withColumn("x", x).join(keys2, "x", "left_semi").select("query_id", "record_id").distinct()
+    return met.withColumn("x", x)
+
+
+def masked_values(entries: DataFrame, keys2: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, value, value2): the stored values of both tables behind each hit; ``entries`` carry ``value``, and
+    ``keys2`` is (x, value2)."""
+    return _hits(entries, asked).join(keys2, "x").select("query_id", "value", "value2").distinct()
+
+
+def cell_rows(points: DataFrame, bounds: tuple, levels: int) -> DataFrame:
+    """The space side of table 1: records under the codes of their cells, one for each level."""
+    each = points.select("join_key", "record_id", F.explode(point_cells(F.col("lat"), F.col("lon"), bounds, levels)).alias("c"))
+    return each.select(cell_keyword(F.col("c.level"), F.col("c.ix"), F.col("c.iy")).alias("keyword"), "join_key", "record_id")
+
+
+def cell_keyword(level: Column, ix: Column, iy: Column) -> Column:
+    """A cell as one number: keyword of the space side."""
+    return (level.cast("bigint") * (1 << 40)) + (ix.cast("bigint") * (1 << 20)) + iy.cast("bigint")
+
+
+def masked_storage(entries: DataFrame, keys2: DataFrame) -> DataFrame:
+    """Entries, keys and their bytes: eight for each number, and the stored values of the entries."""
+    one = entries.agg(F.count("*").alias("entries"), (F.count("*") * 8).alias("entry_bytes"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("value_bytes"))
+    return one.join(F.broadcast(keys2.agg(F.count("*").alias("keys"), (F.count("*") * 8).alias("key_bytes"))))
 
 
 def both(one: DataFrame, two: DataFrame) -> DataFrame:

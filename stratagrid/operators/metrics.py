@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.functions.clock import DAY_SECONDS, floor_div, slot_in_day
+from stratagrid.operators.ranks import BINS, hinted
 
 
 def accuracy(candidates: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
@@ -54,7 +55,23 @@ def per_record(n_records: int, n_bytes: int, seconds: float) -> tuple[float, flo
 
 
 def upper_median(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """sorted[n // 2] of each group (the upper of two middles)."""
-    w = Window.partitionBy(*by)
-    numbered = df.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return numbered.where(F.col("_r") == F.floor(F.col("_n") / F.lit(2)) + 1).select(*by, F.col(value).alias(out))
+    """sorted[n // 2] of each group (the upper of two middles; nulls don't count). The values of a group are counted in BINS
+    bins of its range; the distinct values of the bin that holds the middle are counted again, and only they are ordered:
+    no task sorts a group."""
+    df = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    spans = df.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count("*").alias("_n"))
+    bin_ = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col("_v") - F.col("_a")).cast("double") / (F.col("_b") - F.col("_a")).cast("double") * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
+    binned = df.join(hinted(spans), by).withColumn("_k", bin_)
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.floor(F.col("_n") / F.lit(2))
+    bins = binned.groupBy(*by, "_k").agg(F.count("*").alias("_c"), F.max("_n").alias("_n")).withColumn("_upto", upto)
+    held = bins.where((F.col("_upto") > middle) & (F.col("_upto") - F.col("_c") <= middle)).select(*by, "_k", (F.col("_upto") - F.col("_c")).alias("_before"), middle.alias("_at"))
+    inside = binned.drop("_n").join(hinted(held), [*by, "_k"]).groupBy(*by, "_v").agg(F.count("*").alias("_c"), F.max("_before").alias("_before"), F.max("_at").alias("_at"))
+    reach = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_reach", reach).where((F.col("_reach") > F.col("_at")) & (F.col("_reach") - F.col("_c") <= F.col("_at"))).select(*by, F.col("_v").alias(out))
+
+
+def rates(records: Column, size: Column, seconds: Column) -> tuple[Column, Column]:
+    """Records a second, and bytes a record, of columns; 0 where the divisor is."""
+    over = lambda a, b: F.when(b != 0, a / b).otherwise(F.lit(0.0))
+    return over(records, seconds), over(size, records)

@@ -114,10 +114,11 @@ def dyadic_grid_candidates(points: DataFrame, queries: DataFrame, bits: int = GR
     return grid_points(points, bits).join(q, "x").where("y between cy.lo and cy.hi and z between cz.lo and cz.hi").select("query_id", "record_id")
 
 
-def staggered_covers(points: DataFrame, queries: DataFrame, bits: int = GRID_BITS) -> DataFrame:
-    """(query_id, w, x, y, z): the staggered cube of each box; the end is the upper bound's cell and one more."""
+def staggered_covers(points: DataFrame, queries: DataFrame, bits: int = GRID_BITS, aligned: bool = False) -> DataFrame:
+    """(query_id, w, x, y, z): the staggered cube of each box; the end is the upper bound's cell and one more. ``aligned``:
+    only cubes at multiples of their width."""
     q = grid_boxes(points, queries, bits)
-    cube = cover.staggered_cover(tuple(F.col(f"{c}0") for c in "xyz"), tuple(F.col(f"{c}1") + 1 for c in "xyz"), 1 << bits)
+    cube = cover.staggered_cover(tuple(F.col(f"{c}0") for c in "xyz"), tuple(F.col(f"{c}1") + 1 for c in "xyz"), 1 << bits, aligned)
     return q.select("query_id", cube.alias("c")).select("query_id", "c.*")
 
 
@@ -132,7 +133,7 @@ def dyadic_label_counts(points: DataFrame, bits: int = GRID_BITS) -> DataFrame:
     """(x, y, z, n, labels): occupied cells, their records, and how many labels of three ranges each has: the product of
     the path lengths, so that nothing is exploded."""
     p = grid_points(points, bits).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
-    size = lambda c: F.size(cover.dyadic_path(F.col(c), bits)).cast("bigint")
+    size = lambda c: cover.dyadic_path_length(F.col(c), bits)
     return p.withColumn("labels", size("x") * size("y") * size("z"))
 
 
@@ -156,6 +157,17 @@ def staggered_postings(points: DataFrame, bits: int = GRID_BITS) -> DataFrame:
     return c.groupBy("c.w", "c.x", "c.y", "c.z").agg(F.sum("n").alias("n"))
 
 
+def cube_labels(points: DataFrame, bits: int = GRID_BITS) -> DataFrame:
+    """(x, y, z, n, labels): occupied cells, their records, and how many staggered cubes hold each."""
+    p = grid_points(points, bits).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+    return p.withColumn("labels", F.size(cover.staggered_cubes(F.col("x"), F.col("y"), F.col("z"), 1 << bits)).cast("bigint"))
+
+
+def label_stats(cells_: DataFrame) -> DataFrame:
+    """Cells, labels, and the mean and largest number of labels of a cell."""
+    return cells_.agg(F.count("*").alias("cells"), F.sum("labels").alias("labels"), F.round(F.avg("labels"), 6).alias("mean"), F.max("labels").alias("most"))
+
+
 def posting_stats(cubes: DataFrame) -> DataFrame:
     """Of each cube width: cubes, postings, the longest and the mean posting list."""
     return cubes.groupBy("w").agg(F.count("*").alias("cubes"), F.sum("n").alias("postings"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
@@ -213,7 +225,8 @@ def two_level_day_candidates(points: DataFrame, queries: DataFrame) -> DataFrame
     index = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("day", "attr", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     spans = _days(queries).select("query_id", "day", F.col("lo").alias("a"), F.col("hi").alias("b"))
     covers = merged_position_ranges(index, spans, ["day"]).select("query_id", "day", cover.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
-    numbered = rank_within(p, ["day"], ["slot", "record_id"], F.col("slot") * B.PARTS + id_part(points, parts=B.PARTS), "pos")
+    asked = p.join(covers.select("day").distinct(), "day", "left_semi")  # only days that a query meets are numbered
+    numbered = rank_within(asked, ["day"], ["slot", "record_id"], F.col("slot") * B.PARTS + id_part(points, parts=B.PARTS), "pos")
     wanted = numbered.join(covers, "day").where("pos between c.lo and c.hi")
     return wanted.select("query_id", "record_id").distinct()
 

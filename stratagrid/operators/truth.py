@@ -10,7 +10,8 @@ from stratagrid.operators.ranks import value_at_rank
 
 
 def inside(box: tuple) -> Column:
-    """The closed box (s, e, lat_min, lat_max, lon_min, lon_max) as a condition that reaches the scan."""
+    """The closed box (s, e, lat_min, lat_max, lon_min, lon_max) as a condition on points. Where points come from a
+    table, give its reader the times as well, so that the scan skips what lies outside."""
     s, e, a, b, c, d = box
     return F.col("ts").between(s, e) & F.col("lat").between(a, b) & F.col("lon").between(c, d)
 

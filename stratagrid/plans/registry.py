@@ -46,7 +46,7 @@ PAIR = "query_id:l record_id:l"
 ONE = O.BOXES[0]
 
 # Truth, bounds, windows.
-add("box_truth", "record_id:l ts:l lat:d lon:d", lambda s, d: event_points(s, d).where(truth.inside(ONE[1:])), "SELECT * FROM p WHERE ts BETWEEN 1704500000 AND 1705500000 AND lat BETWEEN -10 AND 60 AND lon BETWEEN -50 AND 100")
+add("box_truth", "record_id:l ts:l lat:d lon:d", lambda s, d: event_points(s, d, ONE[1], ONE[2]).where(truth.inside(ONE[1:])), "SELECT * FROM p WHERE ts BETWEEN 1704500000 AND 1705500000 AND lat BETWEEN -10 AND 60 AND lon BETWEEN -50 AND 100")
 add("box_truth_batch", PAIR, lambda s, d: truth.batch_truth(event_points(s, d), boxes(s)), "SELECT * FROM truth")
 add("point_bounds", "ts_min:l ts_max:l lat_min:d lat_max:d lon_min:d lon_max:d lat_pad:d lon_pad:d", lambda s, d: truth.bounds(event_points(s, d)), "SELECT t0 AS ts_min, t1 AS ts_max, a AS lat_min, b AS lat_max, c AS lon_min, d AS lon_max, greatest(1e-6, (b - a) * CAST(0.001 AS DOUBLE)) AS lat_pad, greatest(1e-6, (d - c) * CAST(0.001 AS DOUBLE)) AS lon_pad FROM b")
 add("default_window", "record_id:l q_s:l q_e:l q_lat_min:d q_lat_max:d q_lon_min:d q_lon_max:d", lambda s, d: truth.default_window(event_points(s, d)), """
@@ -176,19 +176,25 @@ def _table2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).where("value > 50").select(F.col("user_id").alias("join_key"), F.col("event_type").alias("keyword"))
 
 
+def _time_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The time side: records under the slot of their time, and the slots that the boxes ask for, as far as the records'
+    times reach."""
+    points = event_points(spark, sf_dir)
+    rows = points.select(clock.abs_slot(F.col("ts")).alias("keyword"), "join_key", "record_id")
+    q = _keyword_boxes(spark).join(F.broadcast(truth.bounds(points).select("ts_min", "ts_max"))).where("e >= ts_min and s <= ts_max")
+    slots = F.sequence(clock.abs_slot(F.greatest("s", "ts_min")), clock.abs_slot(F.least("e", "ts_max")))
+    return rows, q.select("query_id", F.col("keyword").alias("keyword2"), F.explode(slots).alias("keyword"))
+
+
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The time side: records under the day and slot keys of their time."""
-    rows = event_points(spark, sf_dir).select(clock.abs_slot(F.col("ts")).alias("keyword"), "join_key", "record_id")
-    q = _keyword_boxes(spark)
-    asked = q.select("query_id", F.col("keyword").alias("keyword2"), F.explode(F.sequence(clock.abs_slot(F.col("s")), clock.abs_slot(F.least("e", F.lit(1710000000))))).alias("keyword"))
+    rows, asked = _time_rows(spark, sf_dir)
     return joins.masked_join(joins.build_masked(rows), joins.build_keys(_table2(spark, sf_dir)), asked)
 
 
 _KW = ", ".join(f"({b[0]}, '{b[-1]}')" for b in _KEYWORDS)
-_TIME_SIDE = f"SELECT DISTINCT q.query_id, record_id FROM p JOIN q ON CAST(floor(ts / CAST(600 AS DOUBLE)) AS BIGINT) BETWEEN CAST(floor(s / CAST(600 AS DOUBLE)) AS BIGINT) AND CAST(floor(least(e, 1710000000) / CAST(600 AS DOUBLE)) AS BIGINT) JOIN (VALUES {_KW}) k(query_id, kw) ON k.query_id = q.query_id WHERE (join_key, kw) IN (SELECT (join_key, keyword) FROM p WHERE value > 50)"
+_TIME_SIDE = f"SELECT DISTINCT q.query_id, record_id FROM p JOIN q ON CAST(floor(ts / CAST(600 AS DOUBLE)) AS BIGINT) BETWEEN CAST(floor(s / CAST(600 AS DOUBLE)) AS BIGINT) AND CAST(floor(e / CAST(600 AS DOUBLE)) AS BIGINT) JOIN (VALUES {_KW}) k(query_id, kw) ON k.query_id = q.query_id WHERE (join_key, kw) IN (SELECT (join_key, keyword) FROM p WHERE value > 50)"
 add("keyword_semijoin", PAIR, lambda s, d: joins.keyword_semijoin(event_points(s, d), _table2(s, d), _keyword_boxes(s)), f"SELECT truth.query_id, record_id FROM truth JOIN p USING (record_id) JOIN (VALUES {_KW}) k(query_id, kw) ON k.query_id = truth.query_id WHERE (join_key, kw) IN (SELECT (join_key, keyword) FROM p WHERE value > 50)")
 add("keyword_masked_join", PAIR, _masked, _TIME_SIDE)
-add("keyword_join_intersection", PAIR, lambda s, d: joins.both(_masked(s, d), schemes.day_slot_candidates(event_points(s, d), boxes(s))), f"({_TIME_SIDE}) INTERSECT SELECT query_id, record_id FROM day_slot_cand")
 add("keyword_token_counts", "keyword:s n:l", lambda s, d: joins.token_counts(_table2(s, d).distinct()), "SELECT keyword, count(*) AS n FROM (SELECT DISTINCT keyword, join_key FROM p WHERE value > 50) GROUP BY 1")
 add("id_range", "record_id:l ts:l", lambda s, d: joins.id_range(event_points(s, d), 100, 899), "SELECT * FROM p WHERE record_id BETWEEN 100 AND 899")
 add("stripped_values", "record_id:l value:s", lambda s, d: events(s, d).select(F.col("event_id").alias("record_id"), joins.strip_prefix(F.concat(F.lit("user="), F.col("user_id")), "user").alias("value")), "SELECT record_id, CAST(join_key AS VARCHAR) AS value FROM p")
@@ -240,23 +246,7 @@ add("success_counts", "event_type:s n:l", lambda s, d: events(s, d).where("value
 add("cell_medians", "cell:l median_lat:d", lambda s, d: metrics.upper_median(schemes._cells(event_points(s, d), event_points(s, d), 3).withColumn("cell", F.col("cx") * 8 + F.col("cy")), ["cell"], "lat", "median_lat"), "SELECT cx * 8 + cy AS cell, lat AS median_lat FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY lat) AS r, count(*) OVER (PARTITION BY cx, cy) AS n FROM p3) WHERE r = n // 2 + 1")
 add("result_lines", "query_id:l n_truth:l", lambda s, d: metrics.accuracy(truth.batch_truth(event_points(s, d), boxes(s)), truth.batch_truth(event_points(s, d), boxes(s)), boxes(s)).select(stores.parse_result(stores.result_line(["query_id", "n_truth"])).alias("m")).select(F.col("m")["query_id"].alias("query_id"), F.col("m")["n_truth"].alias("n_truth")), "SELECT q.query_id, count(t.record_id) AS n_truth FROM q LEFT JOIN truth t ON t.query_id = q.query_id GROUP BY 1")
 
-# Sketches and key stores. Filters answer with what they guarantee: no false negatives, no count too small.
-_HALF = lambda s, d: events(s, d).where("user_id % 2 = 0")
-
-
-def _bloom(spark: SparkSession, sf_dir: str, partitioned: bool) -> DataFrame:
-    bits = sketches.bloom_size(0.01, 2000)
-    k = sketches.bloom_hashes(bits, 2000)
-    filter_ = sketches.bloom(_HALF(spark, sf_dir), "user_id", k, bits, partitioned)
-    told = sketches.bloom_contains(filter_, events(spark, sf_dir), "user_id", k, bits, partitioned)
-    return sketches.confusion(told, _HALF(spark, sf_dir), "user_id").select("tp", "fn")
-
-
-_MEMBERS = "SELECT count(DISTINCT user_id) AS tp, 0 AS fn FROM events WHERE user_id % 2 = 0"
-add("bloom_members", "tp:l fn:l", lambda s, d: _bloom(s, d, False), _MEMBERS)
-add("bloom_members_partitioned", "tp:l fn:l", lambda s, d: _bloom(s, d, True), _MEMBERS)
-add("counting_estimates", "low:l items:l", lambda s, d: sketches.counting_lookup(sketches.counting(events(s, d), "user_id", 4, 1 << 16, 30), events(s, d), "user_id", 4, 1 << 16).join(events(s, d).groupBy("user_id").agg(F.count("*").alias("true")), "user_id").agg(F.sum((F.col("estimate") < F.col("true")).cast("int")).alias("low"), F.count("*").alias("items")), "SELECT 0 AS low, count(DISTINCT user_id) AS items FROM events")
-add("counting_after_removal", "low:l items:l", lambda s, d: sketches.counting_lookup(sketches.counting_remove(sketches.counting(events(s, d), "user_id", 4, 1 << 16, 30), _HALF(s, d), "user_id", 4, 1 << 16, 30), events(s, d).where("user_id % 2 = 1"), "user_id", 4, 1 << 16).join(events(s, d).groupBy("user_id").agg(F.count("*").alias("true")), "user_id").agg(F.sum((F.col("estimate") < F.col("true")).cast("int")).alias("low"), F.count("*").alias("items")), "SELECT 0 AS low, count(DISTINCT user_id) AS items FROM events WHERE user_id % 2 = 1")
+# Key stores, and filters that depend on the order of what is put in.
 add("bit_algebra", "event_type:s all_and:l all_or:l all_xor:l ones:l", lambda s, d: events(s, d).groupBy("event_type").agg(F.bit_and("user_id").alias("all_and"), F.bit_or("user_id").alias("all_or"), F.bit_xor("user_id").alias("all_xor"), F.sum(F.bit_count("user_id")).alias("ones")), "SELECT event_type, bit_and(user_id) AS all_and, bit_or(user_id) AS all_or, bit_xor(user_id) AS all_xor, sum(bit_count(user_id)) AS ones FROM events GROUP BY 1")
 
 
@@ -265,7 +255,7 @@ FOLDED_USERS = 150
 
 
 def _ordered_filters() -> dict:
-    return {"spectral_min": sketches.SpectralMinimum(sketches.Cells(4, 4096), 16), "spectral_rm": sketches.SpectralRecurring(sketches.Cells(4, 4096), sketches.Cells(3, 2048, 7), 16), "bitwise": sketches.Bitwise(4, 8192, 12), "aging": sketches.AgingPair(4, 8192, 150), "stable": sketches.Stable(4, 8192, 3, 4)}
+    return {"spectral_min": sketches.SpectralMinimum(sketches.Cells(4, 4096), 16), "spectral_rm": sketches.SpectralRecurring(sketches.Cells(4, 4096), sketches.Cells(3, 2048, 7), 16), "bitwise": sketches.Bitwise(4, 8192), "aging": sketches.AgingPair(4, 8192, 150), "stable": sketches.Stable(4, 8192, 3, 4)}
 
 
 def _fold_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +290,8 @@ def _fold_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("ordered_sketches", "user_id:l spectral_min:l spectral_rm:l bitwise:l aging:l stable:l", _fold_sketches, None)
 _ITEMS = lambda s, d: events(s, d).select(F.col("event_id").alias("key"), F.col("user_id").alias("item"))
 add("key_store", "key:l item:l", lambda s, d: stores.delete(stores.put(_ITEMS(s, d), _ITEMS(s, d).where("key % 3 = 0").withColumn("item", F.col("item") + 1000000)), _ITEMS(s, d).where("key % 5 = 0")), "SELECT event_id AS key, CASE WHEN event_id % 3 = 0 THEN user_id + 1000000 ELSE user_id END AS item FROM events WHERE event_id % 5 <> 0")
-add("key_lookup", "key:l item:l", lambda s, d: stores.get(_ITEMS(s, d), s.range(0, 5000, 7).withColumnRenamed("id", "key")), "SELECT event_id AS key, user_id AS item FROM events WHERE event_id % 7 = 0 AND event_id < 5000")
-add("static_lookup", "key:l item:l", lambda s, d: sketches.static_lookup(_ITEMS(s, d), s.range(0, 2000, 11).withColumnRenamed("id", "key")), "SELECT k AS key, user_id AS item FROM range(0, 2000, 11) t(k) LEFT JOIN events ON event_id = k")
 add("range_keys", "id:l key:l", lambda s, d: stores.range_keys(s, 1000, 5), "SELECT i AS id, i + 5 AS key FROM range(1000) t(i)")
-add("zipf_keys", "key:l n:l", lambda s, d: stores.zipf_keys(s, 20000, 1000).groupBy("key").agg(F.count("*").alias("n")), None)
 add("key_hashes", "record_id:l k64:l", lambda s, d: event_points(s, d).select("record_id", crypto.key64(F.col("record_id").cast("string")).alias("k64")), "SELECT record_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS k64 FROM (SELECT record_id, list_sum(list_transform(range(8), lambda k: CAST(CAST('0x' || substr(h, 2 * k + 1, 2) AS UTINYINT) AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(8 * k AS INTEGER)))) AS u FROM (SELECT record_id, sha256(CAST(record_id AS VARCHAR)) AS h FROM p))")
+
+# The others register themselves with ``add`` when they are imported, which needs the names above.
+from stratagrid.plans import filters, stored  # noqa: E402, F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratagrid.functions.clock import text_seconds
+from stratagrid.operators.ranks import rank_within
 
 POINT = ("record_id", "join_key", "ts", "lat", "lon")
 #: The columns of a check-in file, in order.
@@ -19,9 +20,16 @@ def coordinate(user: Column, event: Column, a: int, b: int, cells: int, shift: f
     return ((user * a + event * b) % cells).cast("double") / F.lit(100.0) - F.lit(shift)
 
 
-def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as points; only the columns that are needed are read."""
+def event_points(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """The events as points; only the columns that are needed are read. ``since`` and ``until``, in epoch seconds, both
+    included, are conditions on the stored time, which the scan skips row groups by."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = e.schema["ts"].dataType.simpleString()
+    at = lambda seconds: F.timestamp_seconds(F.lit(seconds)).cast(kind)
+    if since is not None:
+        e = e.where(F.col("ts") >= at(since))
+    if until is not None:
+        e = e.where(F.col("ts") < at(until + 1))
     user, event = F.col("user_id"), F.col("event_id")
     return e.select(
         event.alias("record_id"),
@@ -45,7 +53,8 @@ def read_checkins(spark: SparkSession, path: str, limit: int | None = None) -> D
         F.expr("try_cast(longitude as double)").alias("lon"),
         F.regexp_replace("id", "\r$", "").alias("id"),
     ).where("ts is not null and lat is not null and lon is not null")
-    numbered = told.rdd.zipWithIndex().map(lambda r: (r[1] + 1, *r[0][1:])).toDF("record_id bigint, join_key string, ts bigint, lat double, lon double, id string")
+    # The upper bits of the first number are the partition: rows are numbered in each and shifted by those before it.
+    numbered = rank_within(told, [], ["_at"], F.shiftrightunsigned("_at", 33), "_n").select((F.col("_n") + 1).cast("bigint").alias("record_id"), "join_key", "ts", "lat", "lon", "id")
     return numbered if limit is None else numbered.where(F.col("record_id") <= limit)
 
 

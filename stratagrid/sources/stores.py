@@ -81,8 +81,19 @@ def delete(store: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return store.join(keys.select(key).distinct(), key, "left_anti")
 
 
+#: A prime, and a generator of its multiplicative group: number i of a stream is its i-th mix, the same in every engine.
+PRIME, STEP = 2_147_483_647, 48_271
+
+
+def unit(i: Column, seed: int) -> Column:
+    """A number in [0, 1) that i and the seed decide: two rounds of a multiplicative congruence."""
+    one = ((i % F.lit(PRIME)) * F.lit(STEP) + F.lit(seed * 7919 + 1)) % F.lit(PRIME)
+    two = (one.bitwiseXOR(F.shiftright(one, 13)) * F.lit(STEP)) % F.lit(PRIME)
+    return two / F.lit(float(PRIME))
+
+
 def uniform_keys(spark: SparkSession, n: int, top: int, seed: int = 1) -> DataFrame:
-    return spark.range(n).select("id", F.floor(F.rand(seed) * top).cast("bigint").alias("key"))
+    return spark.range(n).select("id", F.floor(unit(F.col("id"), seed) * top).cast("bigint").alias("key"))
 
 
 def range_keys(spark: SparkSession, n: int, first: int = 0) -> DataFrame:
@@ -91,7 +102,7 @@ def range_keys(spark: SparkSession, n: int, first: int = 0) -> DataFrame:
 
 def zipf_keys(spark: SparkSession, n: int, top: int, theta: float = 0.8, seed: int = 1) -> DataFrame:
     """Keys 1 to top with probability about k^-theta, by the inverse of the continuous distribution function."""
-    u = F.rand(seed)
+    u = unit(F.col("id"), seed)
     power = 1.0 - theta
     k = F.exp(u * F.log(F.lit(top + 1.0))) if abs(power) < 1e-9 else F.pow(u * ((top + 1.0) ** power - 1.0) + 1.0, F.lit(1.0 / power))
     return spark.range(n).select("id", F.least(F.floor(k), F.lit(top)).cast("bigint").alias("key"))

@@ -70,3 +70,52 @@ def test_ordered_sketches_fold_every_event_in_order(spark, tmp_path):
             m.add(u)
     want = [(u, *(int(m.lookup(u)) for m in made[part[u]].values())) for u in users]
     assert parts > 1 and sorted(map(tuple, registry.QUERIES["ordered_sketches"](spark, str(tmp_path)).collect())) == want
+
+
+def test_bitwise_counts_do_not_wrap():
+    f = K.Bitwise(4, 1 << 14)
+    for n in range(1, 300):
+        f.add("x")
+        assert f.lookup("x") == n
+    assert len(f.levels) == 9 and f.lookup("y") == 0
+
+
+def test_recurring_minimum_takes_out_what_was_put_in():
+    rng = random.Random(3)
+    items = [rng.randrange(80) for _ in range(900)]
+    f = K.fold(K.SpectralRecurring(K.Cells(4, 2048), K.Cells(3, 1024, 5), 12), items)
+    gone = items[:500]
+    for x in gone:
+        f.remove(x)
+    left = {x: items[500:].count(x) for x in set(items)}
+    assert sum(f.lookup(x) == n for x, n in left.items()) > 0.9 * len(left)
+    v = K.CounterVector(2, 3)
+    assert v.set(0, 5) and v.count(0) == 5 and not v.set(1, 9) and v.count(1) == 7
+
+
+def test_xor_tables_hold_every_key_and_few_others(spark):
+    rng = random.Random(2)
+    pairs = {rng.randrange(-(1 << 62), 1 << 62): rng.randrange(1 << 40) for _ in range(3000)}
+    df = spark.createDataFrame([*pairs.items(), (None, 3)], "key long, item long")
+    asked = spark.createDataFrame([(k,) for k in pairs] + [(rng.randrange(1 << 62),) for _ in range(3000)], "key long")
+    got = K.xor_lookup(df, asked, block=700).collect()
+    found = {r.key: r["item"] for r in got if r.found}
+    assert all(found[k] == v for k, v in pairs.items()) and len(found) - len(pairs) < 60 and all(r["item"] is None for r in got if not r.found)
+    assert {r.found for r in K.xor_lookup(df.limit(0), asked).collect()} == {False}
+
+
+def test_evaluator_reads_files(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("".join(f"w{i}\n" for i in range(200)))
+    (tmp_path / "asked.txt").write_text("".join(f"   {1 + i % 3} w{i}\n" for i in range(150, 400)) + "no count\n")
+    members, counted = K.read_items(spark, str(tmp_path / "in.txt")), K.read_counted(spark, str(tmp_path / "asked.txt"))
+    rows = K.trials(members, counted, "item", 200, [0.5, 0.001]).collect()
+    inside, outside = (sum(1 + i % 3 for i in r) for r in (range(150, 200), range(200, 400)))
+    assert all(r.tp == inside and r.fn == 0 and r.fp + r.tn == outside for r in rows)
+    assert rows[0].fp > 0.2 * outside and rows[1].fp < 0.05 * outside and rows[0].bits < rows[1].bits
+
+
+def test_removed_members_are_not_found(spark):
+    items = spark.range(100).withColumnRenamed("id", "x")
+    f = K.bloom(items, "x", 3, 4096)
+    left = K.bloom_remove(f, items.where("x < 20"), "x", 3, 4096)
+    assert not [r for r in K.bloom_contains(left, items, "x", 3, 4096).collect() if r.found and r.x < 20]
