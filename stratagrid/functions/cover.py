@@ -37,16 +37,32 @@ def dyadic_path_length(v: Column, height: int) -> Column:
     return F.when((v >= 0) & (v < 1 << height), middles + height + 1).otherwise(F.lit(0)).cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once: where expressions are built on each other their text would double at
+    each step, until the generated code is too long to compile."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dyadic_cover(a: Column, b: Column) -> Column:
-    """The smallest canonical range that holds [a, b], a <= b: a struct (lo, hi)."""
-    a, b = a.cast("bigint"), b.cast("bigint")
-    x = a.bitwiseXOR(b)
-    bits = F.floor(F.log2(F.greatest(x, F.lit(1)).cast("double"))).cast("int") + 1
-    size = F.when(x == 0, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), bits).cast("bigint"))
-    low = F.floor(a / size).cast("bigint") * size
-    quarter = F.floor(size / F.lit(4)).cast("bigint")
-    middle = (size >= 4) & (low + quarter <= a) & (b <= low + 3 * quarter - 1)
-    return F.struct(F.when(middle, low + quarter).otherwise(low).alias("lo"), F.when(middle, low + 3 * quarter - 1).otherwise(low + size - 1).alias("hi"))
+    """The smallest canonical range that holds [a, b], a <= b: a struct (lo, hi). For few rows: questions, not records."""
+
+    def sized(r: Column) -> Column:
+        x = r["a"].bitwiseXOR(r["b"])
+        bits = F.floor(F.log2(F.greatest(x, F.lit(1)).cast("double"))).cast("int") + 1
+        size = F.when(x == 0, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), bits).cast("bigint"))
+        return let(F.struct(r["a"].alias("a"), r["b"].alias("b"), size.alias("size")), placed)
+
+    def placed(r: Column) -> Column:
+        low = F.floor(r["a"] / r["size"]).cast("bigint") * r["size"]
+        quarter = F.floor(r["size"] / F.lit(4)).cast("bigint")
+        return let(F.struct(r["a"].alias("a"), r["b"].alias("b"), r["size"].alias("size"), low.alias("low"), quarter.alias("quarter")), ends)
+
+    def ends(r: Column) -> Column:
+        first, last = r["low"] + r["quarter"], r["low"] + 3 * r["quarter"] - 1
+        middle = (r["size"] >= 4) & (first <= r["a"]) & (r["b"] <= last)
+        return F.struct(F.when(middle, first).otherwise(r["low"]).alias("lo"), F.when(middle, last).otherwise(r["low"] + r["size"] - 1).alias("hi"))
+
+    return let(F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), sized)
 
 
 def staggered_cubes(x: Column, y: Column, z: Column, width: int) -> Column:
