@@ -12,6 +12,7 @@ from stratagrid.functions.clock import DAY_SECONDS, SLOTS_PER_DAY, abs_slot, flo
 from stratagrid.operators import buckets as B
 from stratagrid.operators import truth
 from stratagrid.operators.ranks import id_part, rank_within
+from stratagrid.sources.shared import written
 
 #: Levels of the spatial cells that slots, and covers of slots, are pruned by.
 SLOT_LEVEL, COVER_LEVEL, GRID_BITS, DAY_HEIGHT = 8, 3, 7, 8
@@ -38,9 +39,15 @@ def _hits(slots: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     return met.select("query_id", key, "slot").distinct()
 
 
+def bucketed_cells(points: DataFrame, sizes: B.Sizes, level: int) -> DataFrame:
+    """The index of the bucket schemes: records with their bucket, slot and cell, made once in the shared folder, as
+    buckets, slots and hits are all read from it."""
+    return written(B.with_buckets(_cells(points, points, level).select("record_id", "ts", "cx", "cy"), sizes))
+
+
 def slot_candidates(points: DataFrame, queries: DataFrame, sizes: B.Sizes = B.Sizes(), level: int = SLOT_LEVEL) -> DataFrame:
     """All records of each slot of a bucket that the query's time meets and that has a record in the query's cells."""
-    bucketed = B.with_buckets(_cells(points, points, level), sizes)
+    bucketed = bucketed_cells(points, sizes, level)
     q = _query_cells(queries, points, level)
     spans = B.touched(B.bucket_table(bucketed), queries).select("query_id", "bucket_id", abs_slot(F.greatest("s", "start_ts"), sizes.normal().slot_seconds).alias("lo"), abs_slot(F.least("e", "end_ts"), sizes.normal().slot_seconds).alias("hi")).join(q.drop("s", "e"), "query_id")
     slots = bucketed.select("bucket_id", F.col("abs_slot").alias("slot"), "cx", "cy").distinct()
@@ -50,7 +57,7 @@ def slot_candidates(points: DataFrame, queries: DataFrame, sizes: B.Sizes = B.Si
 
 def slot_cover_candidates(points: DataFrame, queries: DataFrame, sizes: B.Sizes = B.Sizes(), level: int = COVER_LEVEL) -> DataFrame:
     """Per touched bucket whose slots in the query's range hit: all records in the single dyadic cover of that range."""
-    bucketed = B.with_buckets(_cells(points, points, level), sizes)
+    bucketed = bucketed_cells(points, sizes, level)
     slots = B.bucket_slots(bucketed)
     local = bucketed.join(slots.select("bucket_id", "abs_slot", F.col("local_slot").cast("bigint").alias("slot")), ["bucket_id", "abs_slot"])
     ranges = B.local_ranges(bucketed, queries, sizes.normal().slot_seconds).where("lo >= 0").join(_query_cells(queries, points, level).drop("s", "e"), "query_id")
