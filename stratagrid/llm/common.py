@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratagrid.sources import shared
 
+#: The tables that were written and not removed, in order; what is left is removed when the driver ends.
+MADE: list[DataFrame] = []
 #: Bytes of a batch of rows between the JVM and Python, which holds memory outside the heap on both sides.
 BATCH = "8m"
 
@@ -28,46 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a session in one process
-    gets a folder of its own; a cluster has no folder that all can see, so that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="stratagrid-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The rows of df, written once as a Parquet table in the shared folder and read from there: lineage ends here, and
-    a lost executor costs no recomputation. The table is removed when the driver ends, or by ``remove``."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stratagrid_path = path
+    """The rows of df, written once to the shared folder and read from there, in batches of bounded bytes."""
+    small_batches(df.sparkSession)
+    out = shared.written(df, codec)
+    MADE.append(out)
     return out
 
 
 def remove(df: DataFrame) -> None:
     """Deletes the table behind a ``written`` DataFrame that no later step reads."""
-    if path := getattr(df, "_stratagrid_path", None):
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is None:
-            return
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended: the cluster's own clean-up of the folder applies
-        return
+    shared.remove(df)
+    MADE[:] = [x for x in MADE if x is not df]
+
+
+def remove_since(mark: int, but: DataFrame) -> None:
+    """Deletes what has been written since MADE had ``mark`` tables, but the one given."""
+    for df in MADE[mark:]:
+        if df is not but:
+            shared.remove(df)
+    del MADE[mark:]
+    MADE.append(but)
 
 
 def dense_positions(df: DataFrame, group: list[str], order: list[str], spread: Column, out: str, salts: int = 64, weight: str | None = None) -> DataFrame:

@@ -217,61 +217,105 @@ def few(buckets: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= limit else kept
 
 
-def apart(a: np.ndarray, b: np.ndarray | None, one: np.ndarray, two: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs within ``radius`` whose labels differ, in one tile or between two, counted as in ``joined``."""
-    y, labels, shift = (a, one, 0) if b is None else (b, two, len(a))
-    us, vs = [], []
-    for i in range(len(a)):
-        at = i + 1 if b is None else 0
-        near = np.flatnonzero((np.bitwise_count(y[at:] ^ a[i]).sum(axis=1, dtype=np.int64) <= radius) & (labels[at:] != one[i]))
-        us.append(np.full(len(near), i))
-        vs.append(near + at + shift)
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def wide_links(prints: DataFrame, radius: int, tile: int = 512, label: str | None = None) -> DataFrame:
+def words(fps: list[bytes]) -> np.ndarray:
+    """Prints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(fps), -1)
+
+
+def wide_links(prints: DataFrame, radius: int, tile: int = 512) -> DataFrame:
     """Edges (u, v) of node numbers that join the prints (columns node long, fp binary, ones int) within ``radius`` that
     agree in one 12-bit block at least. A bucket of equal blocks that fits is one tile; a larger one is dealt to tiles by
     population count, in steps of the radius, and a hash; all pairs of its tiles are compared but those whose counts
     differ by more than the radius. No bucket is capped. Edges are those of ``joined``, whose ends may be further apart
-    than the radius; with ``label``, a long column, every pair within it whose labels differ (in each block they share)."""
+    than the radius."""
     width = 3
     h = F.hex("fp")
-    own = ["node", "fp", *([label] if label else [])]
-    rows = prints.select(*own, "ones", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("fp") * 2 - width + 1, F.lit(width)), lambda at: F.substring(h, at, F.lit(width)))).alias("block", "value"))
+    rows = prints.select("node", "fp", "ones", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("fp") * 2 - width + 1, F.lit(width)), lambda at: F.substring(h, at, F.lit(width)))).alias("block", "value"))
     step = F.floor(F.col("ones") / F.lit(radius + 1)).cast("int")
     large = few(rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("block", "value"))
     parts = few(rows.join(large, ["block", "value"]).groupBy("block", "value", step.alias("step")).agg(F.ceil(F.count("*") / tile).alias("parts")))
     dealt = rows.withColumn("step", step).join(parts, ["block", "value", "step"], "left")
-    dealt = dealt.select("block", "value", F.when(F.col("parts").isNull(), -1).otherwise(F.col("step")).alias("step"), F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part"), *own)
-    tiles = dealt.groupBy("block", "value", "step", "part").agg(*(F.collect_list(c).alias(f"{c}s") for c in own))
-
-    def words(fps: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint64).reshape(len(fps), -1)
+    dealt = dealt.select("block", "value", F.when(F.col("parts").isNull(), -1).otherwise(F.col("step")).alias("step"), F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part"), "node", "fp")
+    tiles = dealt.groupBy("block", "value", "step", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             us, vs = [], []
             for i in range(b.num_rows):
                 found = [b.column(c)[i].values for c in range(b.num_columns)]
-                one, two = found[: len(own)], found[len(own) :]
-                nodes = np.concatenate([x[0].to_numpy() for x in (one, two) if x])
-                x, y = words(one[1]), words(two[1]) if two else None
-                if label:
-                    u, v = apart(x, y, one[2].to_numpy(), two[2].to_numpy() if two else None, radius)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
-                    continue
+                nodes = np.concatenate([x.to_numpy() for x in found[::2]])
+                x, y = words(found[1].to_pylist()), words(found[3].to_pylist()) if len(found) > 2 else None
                 for u, v in joined(x, y, radius):
                     us.append(nodes[u])
                     vs.append(nodes[v])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    lists = [f"{c}s" for c in own]
-    alone = tiles.where(F.size("nodes") > 1).select(*lists).mapInArrow(run, "u long, v long")
+    alone = tiles.where(F.size("nodes") > 1).select("nodes", "fps").mapInArrow(run, "u long, v long")
     split = tiles.where("step >= 0")
-    other = split.select("block", "value", F.col("step").alias("step2"), F.col("part").alias("part2"), *(F.col(c).alias(f"{c}2") for c in lists))
+    other = split.select("block", "value", F.col("step").alias("step2"), F.col("part").alias("part2"), F.col("nodes").alias("nodes2"), F.col("fps").alias("fps2"))
     pairs = split.join(other, ["block", "value"]).where((F.col("step2") - F.col("step")).between(0, 1) & ((F.col("step2") > F.col("step")) | (F.col("part2") > F.col("part"))))
-    return alone.union(pairs.select(*lists, *(f"{c}2" for c in lists)).mapInArrow(run, "u long, v long"))
+    return alone.union(pairs.select("nodes", "fps", "nodes2", "fps2").mapInArrow(run, "u long, v long"))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def join_labels(one: list[dict], two: list[dict] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges between nodes of a tile (two is None), or of two tiles, whose prints are within the radius and whose shingles
+    are alike: one for each label but the first of those that the tiles' links join. Nodes are dicts of node, label, fp
+    and shingles. Labels that are joined already are compared no more."""
+    x, y = words([r["fp"] for r in one]), words([r["fp"] for r in (two or one)])
+    sets = [[np.asarray(r["shingles"], dtype=np.int64) for r in rows] for rows in (one, two or one)]
+    names, number = np.unique([r["label"] for r in [*one, *(two or [])]], return_inverse=True)
+    of_x, of_y = number[: len(one)], number[len(one) :] if two else number
+    up = np.arange(len(names))
+    edges = []
+    for i in range(len(one)):
+        at = 0 if two else i + 1
+        near = at + np.flatnonzero(np.bitwise_count(y[at:] ^ x[i]).sum(axis=1, dtype=np.int64) <= radius)
+        for j in near[up[of_y[near]] != up[of_x[i]]].tolist():
+            a, b = up[of_x[i]], up[of_y[j]]
+            if a != b and jaccard(sets[0][i], sets[1][j]) >= similarity:
+                edges.append((one[i]["node"], (two or one)[j]["node"]))
+                up[up == max(a, b)] = min(a, b)
+    return edges
+
+
+def label_links(nodes: DataFrame, radius: int, similarity: float, tile_bytes: int = 2 << 20) -> DataFrame:
+    """Edges (u, v) that join what links between different labels of one component join: prints within the radius and
+    shingles alike. ``nodes``: component, label, node, fp, ones, shingles (sorted).
+
+    A component's nodes are dealt to tiles of about ``tile_bytes``: those of a label with more have tiles of its own, the
+    others share tiles. Tiles are compared in pairs but those of one label alone, and those whose population counts differ
+    by more than the radius; no more than two tiles are held at a time, and a pair of tiles gives no more edges than it
+    has labels. No component is capped."""
+    size = F.size("shingles") * 8 + F.length("fp") + 64
+    sized = written(nodes.groupBy("component", "label").agg(F.sum(size).alias("bytes")))
+    large = F.col("bytes") > tile_bytes
+    shared = sized.where(~large).groupBy("component").agg(F.ceil(F.sum("bytes") / tile_bytes).alias("shared"))
+    deal = few(sized.join(shared, "component", "left").select("component", "label", large.alias("pure"), F.when(large, F.ceil(F.col("bytes") / tile_bytes)).otherwise(F.col("shared")).cast("long").alias("parts")))
+    dealt = nodes.join(deal, ["component", "label"])
+    part = F.pmod(F.xxhash64(F.when(F.col("pure"), F.col("node")).otherwise(F.col("label"))), F.col("parts"))
+    dealt = dealt.withColumn("own", F.when(F.col("pure"), F.col("label"))).withColumn("tile", F.xxhash64("pure", "own", part))
+    tiles = written(dealt.groupBy("component", "tile", "own").agg(F.min("ones").alias("lo"), F.max("ones").alias("hi"), F.collect_list(F.struct("node", "label", "fp", "shingles")).alias("rows")))
+    one = tiles.select("component", "tile", "own", "lo", "hi")
+    two = one.select("component", *(F.col(c).alias(f"{c}2") for c in ("tile", "own", "lo", "hi")))
+    pairs = one.join(two, "component").where((F.col("tile") < F.col("tile2")) & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False)) & (F.col("lo") - F.col("hi2") <= radius) & (F.col("lo2") - F.col("hi") <= radius))
+    held = tiles.select("component", "tile", "rows")
+    met = written(pairs.select("component", "tile", "tile2")).join(held, ["component", "tile"]).join(held.select("component", F.col("tile").alias("tile2"), F.col("rows").alias("rows2")), ["component", "tile2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found = [b.column(c)[i].as_py() for c in range(b.num_columns)]
+                edges = np.array(join_labels(found[0], found[1] if len(found) > 1 else None, radius, similarity), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+
+    alone = tiles.where(F.col("own").isNull() & (F.size("rows") > 1)).select("rows").mapInArrow(run, "u long, v long")
+    return alone.union(met.select("rows", "rows2").mapInArrow(run, "u long, v long"))
 
 
 def alike(similarity: float, a: str, b: str) -> Column:
@@ -286,7 +330,7 @@ def exact_links(nodes: DataFrame, found: DataFrame, sets: DataFrame, radius: int
     candidates' groups; ``sets``: (node, shingles) of their nodes.
 
     Pairs in one group are too many where a group is large. So some rounds compare each node of a group with one of
-    them, and those alike are done with; only then every candidate pair that is not joined by that is compared."""
+    them, and those alike are done with; what is then still apart in a group is compared in tiles (``label_links``)."""
     left = found.join(sets, "node")
     edges = None
     for _ in range(rounds):
@@ -302,10 +346,8 @@ def exact_links(nodes: DataFrame, found: DataFrame, sets: DataFrame, radius: int
     heads = edges.select(F.col("u").alias("node"), F.col("v").alias("head"))
     labels = found.join(heads, "node", "left").select("node", "component", F.coalesce("head", "node").alias("label"))
     several = labels.groupBy("component").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("component")
-    open_ = written(labels.join(few(several), "component", "left_semi").select("node", "label"))
-    pairs = wide_links(nodes.join(open_, "node"), radius, label="label").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
-    return edges.union(pairs.join(one, "u").join(two, "v").where(alike(similarity, "a", "b")).select("u", "v"))
+    open_ = written(labels.join(few(several), "component", "left_semi").select("component", "node", "label"))
+    return edges.union(label_links(nodes.select("node", "fp", "ones").join(open_, "node").join(sets, "node"), radius, similarity))
 
 
 def similar_documents(df: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, lanes: int = 8) -> DataFrame:

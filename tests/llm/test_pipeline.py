@@ -2,11 +2,15 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
-from stratagrid.llm.packing import encoder, vocabulary_path
+from stratagrid.llm import common
+from stratagrid.llm import mixing as M
+from stratagrid.llm.packing import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies string, _id int"
 
@@ -67,17 +71,62 @@ def test_stages_one_after_the_other(spark, folder):
 
     four = C.mix(spark, three, at).cache()
     assert {r.doc_id for r in four.collect()} == ids and four.columns == list(C.COLUMNS) and four.count() > len(ids)
-
-    import public_tokenizers
-
-    five = C.pack(spark, four, at).collect()
-    encode = encoder(vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert sum(r.length for r in five) == sum(len(encode(r.text or "")) + 1 for r in four.collect())
+    check_mixing(spark, three, four, labels)
+    check_packing(four.collect(), C.pack(spark, four, at).collect())
+
+
+def check_mixing(spark, before, after, labels):
+    """Copies against plain least squares over rates of 1 at least, on the documents' posteriors."""
+    domains = ["good", "poor"]
+    known = spark.createDataFrame([(k, domains[1 - q]) for k, (q, t) in labels.items() if not t], "doc_id long, domain string")
+    told = M.fit_posteriors(before, known, domains)
+    rows = M.posteriors(before, told, domains).collect()
+    p, t = np.array([[r.p0, r.p1] for r in rows]), np.array([r.tokens for r in rows], dtype=float)
+    a, share = p * t[:, None], np.array([0.90, 0.10])
+    goal = share * (a.sum(axis=0) / share).max()
+    m = a.T @ p
+    w = np.linalg.pinv(m + 1e-9 * np.trace(m) * np.eye(2))
+    r = np.ones(len(t))
+    for _ in range(2000):
+        r = np.maximum(1, r - p @ (w @ (a.T @ r - goal)))
+    copies = Counter(x.doc_id for x in after.collect())
+    loss = lambda x: float((a.T @ x - goal) @ w @ (a.T @ x - goal))
+    had = np.array([copies[x.doc_id] for x in rows], dtype=float)
+    assert (np.abs(had - r) < 1.1).all() and loss(had) <= loss(r) + 0.02 * loss(np.ones(len(r)))
+
+
+def check_packing(rows, pieces):
+    """Every row's ids, by the tokenizers library at its defaults, lie in its pieces once; sequences have no gap."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    left = defaultdict(list)
+    for r in rows:
+        left[r.doc_id].append(np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4"))
+    assert sum(r.length for r in pieces) == sum(len(x) for v in left.values() for x in v)
+    met, filled = defaultdict(Counter), defaultdict(list)
+    for r in pieces:
+        assert any(len(x) == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in left[r.doc_id])
+        for k in range(r.start, r.start + r.length):
+            met[r.doc_id, r.doc_tokens][k] += 1
+        filled[r.sequence_id].append((r.offset, r.length))
+    for (doc, n), c in met.items():
+        copies = sum(len(x) == n for x in left[doc])
+        assert sorted(c) == list(range(n)) and set(c.values()) == {copies}
+    for parts in filled.values():
+        at = 0
+        for off, n in sorted(parts):
+            assert off == at
+            at += n
+        assert at == 1024 or at < 1024 and at & (at - 1) == 0
 
 
 def test_run_and_empty_documents(spark, folder):
     at = folder[0]
+    mark = len(common.MADE)
     assert C.run(spark, at).count() > 300
+    made = [x._stratagrid_path for x in common.MADE[mark:]]
+    assert len(made) <= 8  # the rows that packing reads, and its own tables
     docs = spark.read.parquet(f"{at}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         out = stage(spark, docs, at)

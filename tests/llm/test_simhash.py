@@ -212,3 +212,28 @@ def test_chains_of_links_through_a_loose_group(spark):
     edges = [(i, j) for i in texts for j in texts if i < j and jaccard(texts[i], texts[j]) >= 0.8]
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(edges) >= 23 and set(got.values()) == {0}
+
+
+def test_label_links_join_what_all_links_join(spark):
+    from stratagrid.llm import simhash as S
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(3):
+        base = rng.integers(-(2**62), 2**62, 60)
+        for k in range(40):
+            own = base.copy()
+            own[rng.choice(60, 3 + k % 2, replace=False)] = rng.integers(-(2**62), 2**62, 3 + k % 2)
+            rows.append((c, 100 * c + (k if k % 3 else 0), 1000 * c + k, np.unique(own)))
+    fp = [S.print_of([r[3].view(np.uint64)], 8) for r in rows]
+    radius = 120
+    near = lambda i, j: (int.from_bytes(fp[i], "little") ^ int.from_bytes(fp[j], "little")).bit_count() <= radius
+    alike = lambda i, j: len(set(rows[i][3]) & set(rows[j][3])) / len(set(rows[i][3]) | set(rows[j][3])) >= 0.8
+    same = [(r[2], q[2]) for r in rows for q in rows if r[:2] == q[:2]]
+    want = same + [(rows[i][2], rows[j][2]) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] and near(i, j) and alike(i, j)]
+    df = spark.createDataFrame([(c, lab, node, bytearray(f), int.from_bytes(f, "little").bit_count(), x.tolist()) for (c, lab, node, x), f in zip(rows, fp, strict=True)], "component long, label long, node long, fp binary, ones int, shingles array<long>")
+    names = [r[2] for r in rows]
+    for most in (900, 5000, 1 << 21):
+        got = [(r.u, r.v) for r in S.label_links(df, radius, 0.8, most).collect()]
+        assert grouped(same + got, names) == grouped(want, names) != grouped(same, names)
+    assert len(got) < len(names)  # one tile for a component: no more edges than labels
