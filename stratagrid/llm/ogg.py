@@ -158,7 +158,10 @@ def padded(text: str | None, unit: int = 64) -> tuple[int, bytes]:
 
 
 def encode_media(df: DataFrame, key: str = "doc_id", text: str = "text", rate: int = 8000, streams: int = 2, block: int = 4096) -> DataFrame:
-    """(key, n_bytes, media binary) for every row. Null text: as empty. Other columns are not carried."""
+    """(key, n_bytes, media binary) for every row. A null text counts as empty, and an empty one is stored as 64 zero bytes.
+    A text of any length is stored whole; one is held at a time, beside the media of 256 rows at most. Equal texts have
+    equal bytes; null keys and rows that repeat a key each have a row. Other columns are not carried, whatever their
+    names. Empty table: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
