@@ -48,6 +48,8 @@ DEEPEST = 150
 WIDEST = 64
 #: Different pages that a slot must have before what they share counts as template.
 LEAST_PAGES = 3
+#: The longest texts of a page that tell it from others.
+LONGEST = 3
 #: The share of the varying text that a container must hold for what stands beside it to be left out.
 HEAVY = 0.85
 #: Slots that a worker holds before it hands on what it has merged, or forgets templates it has read.
@@ -337,11 +339,14 @@ def place(node: Node) -> Slot:
 
 
 def tree_of(page: str) -> tuple[Node, list[tuple[Node, str, int]], Slot]:
+    """A page's elements, texts and slots. Pages count as different by their LONGEST texts: copies that differ in what
+    stands around the article are one page."""
     import xxhash
 
     root = parse(page)
     pieces = segments(root)
-    return root, pieces, fold(root, pieces, xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")))
+    longest = sorted({text for _, text, _ in pieces}, key=lambda x: (-len(x), x))[:LONGEST]
+    return root, pieces, fold(root, pieces, xxhash.xxh64_intdigest("\n".join(longest).encode("utf-8", "surrogatepass")))
 
 
 def constant(s: Slot) -> dict[int, int]:

@@ -65,6 +65,9 @@ def test_articles_headers_and_copies():
     near = [page(i, main.format(9)) for i in range(6)]  # copies but for what stands around the article
     assert W.extract(near[0], W.induce(near)) == "T 9\nBody 9\nx9\ny9"
     assert W.extract(near[0], W.induce([near[0]] * 5)) == "T 9\nBody 9\nx9\ny9"
+    few = [page(i, f"<div class=text><h1>Head {i}</h1><p>The text of page {i} is one of its own, not a copy</p></div>") for i in range(6)]
+    some = [page(i, "<div class=text><h1>Nine</h1><p>This text stands on four pages, with a list that no other has</p><ul><li>one of it<li>two of it</ul></div>") for i in range(4)]
+    assert W.extract(some[1], W.induce(few + some)).endswith("one of it\ntwo of it")  # copies don't make their own slots constant
     assert W.extract("<html><body><p>Other page, other form, long enough</p></body></html>", w) == "Other page, other form, long enough"
     assert W.extract(None, w) == W.extract("", w) == W.extract("", None) == ""
 
