@@ -30,7 +30,10 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max
     Learns from the labelled rows (key, domain) with the least hashes of their keys, ``max_labelled`` at most: the
     documented bound. Rows with a null key or domain, or another domain, teach nothing; of a key with two domains the
     smaller name counts. The table has BUCKETS + 1 rows at most."""
-    known = labelled.where(F.col(key).isNotNull() & F.col("domain").isin(domains)).groupBy(F.col(key).alias("id")).agg(F.min("domain").alias("domain"))
+    # Domains are numbered in the order of their names: numbers are aggregated by hash, texts by sorting.
+    names = F.array(*map(F.lit, sorted(domains)))
+    told = labelled.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array_position(names, F.col("domain")).alias("k")).where("k > 0")
+    known = told.groupBy("id").agg(F.min("k").cast("int").alias("k")).select("id", F.element_at(names, F.col("k")).alias("domain"))
     chosen = known.orderBy(F.xxhash64(F.lit("sample"), "id")).limit(max_labelled)
     # Written before it is cut into words: the optimizer would move that below the join, to all documents.
     body = written(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").select("domain", "t").repartition(16))
@@ -55,7 +58,8 @@ def posteriors(df: DataFrame, weights: DataFrame, domains: list[str], key: str =
     row = row.select("row", key, F.size("words").cast("long").alias("tokens"), F.array_distinct("words").alias("words"))
     each = row.select("row", key, "tokens", F.size("words").alias("different"), F.explode_outer("words").alias("w"))
     met = each.withColumn("b", bucket(F.col("w"))).join(F.broadcast(weights.where("b >= 0")), "b", "left")
-    summed = met.groupBy("row").agg(F.first(key).alias(key) if df.schema[key].dataType.typeName() == "string" else F.max(key).alias(key), F.max("tokens").alias("tokens"), F.max("different").alias("different"), *(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in range(len(domains))))
+    # The key is part of the grouping: a text among the aggregates would make this a sort of all words.
+    summed = met.groupBy("row", key, "tokens", "different").agg(*(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in range(len(domains))))
     scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("different"), F.lit(1)))
     logs = [F.lit(prior[f"w{k}"]) + F.col(f"s{k}") * scale for k in range(len(domains))]
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
