@@ -49,7 +49,7 @@ def present(text: str | None, index: dict[str, int], memo: dict[str, tuple[int,
     return found
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, l1: float = 5e-3, beta: float = 0.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, l1: float = 1e-2, beta: float = 0.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * E+[l(g)] + max(0, Eu[l(-g)] - prior * E+[l(-g)]) with the logistic loss.
 
     Where the second part falls below -beta on a batch, the step goes up its gradient instead, which keeps a flexible
@@ -84,29 +84,33 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
 
 def least_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
     """The score at which the non-negative estimate of the share of wrong decisions is least, on scores of texts that the
-    model has not learnt from: prior * (positives below) + max(0, unlabelled above - prior * (positives above)). It lies
-    half way between neighbouring scores; of equal ones the middle counts."""
+    model has not learnt from: prior * (positives below) + max(0, unlabelled above - prior * (positives above)). Of the
+    scores whose estimate is within a standard error of the least, the middle of the widest gap between neighbours."""
     s = np.unique(np.concatenate((positive, unlabelled)))
     at = np.concatenate((s[:1] - 1, (s[1:] + s[:-1]) / 2, s[-1:] + 1))
     above = lambda z: 1 - np.searchsorted(np.sort(z), at) / len(z)
     caught = above(positive)
     risk = prior * (1 - caught) + np.maximum(0, above(unlabelled) - prior * caught)
-    best = np.flatnonzero(risk <= risk.min() + 1e-12)
-    return float(at[best[len(best) // 2]])
+    missed, n = 1 - caught[int(risk.argmin())], len(positive)
+    error = prior * np.sqrt(max(missed * (1 - missed), 1 / n) / n)
+    gap = np.concatenate(([0.0], s[1:] - s[:-1], [0.0]))
+    return float(at[int(np.where(risk <= risk.min() + error, gap, -risk).argmax())])
 
 
 def fit_folds(positive: np.ndarray, unlabelled: np.ndarray, prior: float, folds: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and bias, the means of those of ``folds`` models. Each is fitted without one fold, and its scores of that
-    fold set its bias. Too few positives for folds: one model with its own bias."""
+    """Weights and bias, the means of those of ``folds`` models. Each is fitted without one fold and scores it; the bias is
+    moved by the score at which the risk of all these is least. Too few positives for folds: one model with its own bias."""
     if len(positive) < folds or len(unlabelled) < folds:
         return fit_nnpu(positive, unlabelled, prior)
-    weights, biases = [], []
+    weights, biases, scores = [], [], ([], [])
     for k in range(folds):
         p, u = np.arange(len(positive)) % folds == k, np.arange(len(unlabelled)) % folds == k
         w, b = fit_nnpu(positive[~p], unlabelled[~u], prior)
         weights.append(w)
-        biases.append(b - least_risk(positive[p] @ w + b, unlabelled[u] @ w + b, prior))
-    return np.mean(weights, axis=0), float(np.mean(biases))
+        biases.append(b)
+        scores[0].append(positive[p] @ w + b)
+        scores[1].append(unlabelled[u] @ w + b)
+    return np.mean(weights, axis=0), float(np.mean(biases)) - least_risk(*map(np.concatenate, scores), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int = 4000, max_unlabelled: int = 8000, max_features: int = 512, min_positive: int = 3, min_share: float = 0.015, against: float = 4.0, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
