@@ -30,7 +30,7 @@ def random_words(n: int, seed: int) -> list[int]:
 def h3(item: Column, seed: int) -> Column:
     """A hash of the H3 family (Carter and Wegman 1979) of a whole number: the exclusive or of the random words at the
     places of its 64 bits that are set."""
-    words = F.array(*(F.lit(w).cast("bigint") for w in random_words(64, seed)))
+    words = F.expr(f"array({', '.join(f'{w}L' for w in random_words(64, seed))})")  # one call, one literal
     places = F.split(F.lpad(F.bin(item.cast("bigint")), 64, "0"), "")  # the highest bit first
     chosen = F.zip_with(F.slice(places, 1, 64), words, lambda b, w: F.when(b == "1", w).otherwise(F.lit(0).cast("bigint")))
     return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(w))
