@@ -13,6 +13,8 @@ from .common import table, written
 
 #: Rows of a posting list, and of a list's queries, that one task compares at a time.
 CHUNK, QUERY_CHUNK = 4096, 512
+#: Width and exploration of the walks that place vectors in lists, which need the nearest few centroids alone.
+INDEX_WALK = 24, 12
 
 
 def vectors_of(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -211,7 +213,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", column: st
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                ids, dist = graph.search(unit(matrix(part.column(1), dim)), reach)
+                ids, dist = graph.search(unit(matrix(part.column(1), dim)), reach, *INDEX_WALK)
                 rows, cols = np.nonzero(spread(dist))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows, cols].astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["cell", "id", "v"])
 
