@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagrid.sources import shared
 
+
+@dataclass(frozen=True)
+class Made:
+    """What ``remove`` needs of a written table. Not its DataFrame: that holds the plan and a status of each file on the
+    driver for as long as it lives, and tables that no one removes would add up."""
+
+    sparkSession: SparkSession
+    _stratagrid_path: str
+
+
 #: The tables that were written and not removed, in order; what is left is removed when the driver ends.
-MADE: list[DataFrame] = []
+MADE: list[Made] = []
 #: Bytes of a batch of rows between the JVM and Python, which holds memory outside the heap on both sides.
 BATCH = "8m"
 
@@ -30,23 +42,25 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of df, written once to the shared folder and read from there, in batches of bounded bytes."""
     small_batches(df.sparkSession)
     out = shared.written(df, codec)
-    MADE.append(out)
+    MADE.append(Made(out.sparkSession, out._stratagrid_path))
     return out
 
 
 def remove(df: DataFrame) -> None:
     """Deletes the table behind a ``written`` DataFrame that no later step reads."""
     shared.remove(df)
-    MADE[:] = [x for x in MADE if x is not df]
+    path = getattr(df, "_stratagrid_path", None)
+    MADE[:] = [x for x in MADE if x._stratagrid_path != path]
 
 
 def remove_since(mark: int, but: DataFrame) -> None:
     """Deletes what has been written since MADE had ``mark`` tables, but the one given."""
-    for df in MADE[mark:]:
-        if df is not but:
-            shared.remove(df)
+    kept = Made(but.sparkSession, but._stratagrid_path)
+    for x in MADE[mark:]:
+        if x != kept:
+            shared.remove(x)
     del MADE[mark:]
-    MADE.append(but)
+    MADE.append(kept)
 
 
 def dense_positions(df: DataFrame, group: list[str], order: list[str], spread: Column, out: str, salts: int = 64, weight: str | None = None) -> DataFrame:

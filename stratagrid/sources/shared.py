@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +37,23 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "table")
     df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = read_once(spark, df.schema, path)
     out._stratagrid_path = path
     return out
 
 
+def read_once(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """The Parquet table at path, whose files' statuses stay on the driver for as long as this DataFrame's plan does and no
+    longer: Spark's own cache of them holds those of up to 250 MB of tables that are read no more."""
+    key = "spark.sql.hive.filesourcePartitionFileCacheSize"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(key, usual)
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the table behind a ``written`` DataFrame that no later step reads."""
     if path := getattr(df, "_stratagrid_path", None):

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import gc
 import random
+import shutil
+import subprocess
+import time
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,3 +169,36 @@ def test_documents_go_by_rows_and_not_by_ids(spark):
     assert sorted(got, key=order) == sorted([rows[0], *rows[2:5], rows[6]], key=order)
     got = [(r.doc_id, r.text) for r in C.dedup_documents(spark, rows_of(spark, rows[:3]), "").collect()]
     assert sorted(got, key=order) == sorted([rows[0], rows[2]], key=order)
+
+
+def test_driver_keeps_nothing_of_tables_that_no_one_reads(spark):
+    def statuses() -> int:
+        """File statuses that live on the driver after a full collection."""
+        gc.collect()
+        time.sleep(1)  # for py4j, which lets go of what Python has freed
+        found = subprocess.run([jcmd, str(spark._jvm.java.lang.ProcessHandle.current().pid()), "GC.class_histogram"], capture_output=True, text=True, check=True, timeout=60).stdout
+        return sum(int(x.split()[1]) for x in found.split("\n") if ".LocatedFileStatus" in x)
+
+    if not (jcmd := shutil.which("jcmd")):
+        pytest.skip("needs a JDK's jcmd")
+    key = "spark.sql.hive.filesourcePartitionFileCacheSize"
+    before, usual = statuses(), spark.conf.get(key)
+    gone = []
+    for _ in range(5):
+        made = common.written(spark.range(0, 3000, 1, 40))
+        rows = made.count()
+        assert rows == 3000
+        gone.append(weakref.ref(made))
+        path = made._stratagrid_path
+        del made
+    # The last action's plan may live on in a thread of Spark that waits for its next.
+    assert statuses() <= before + 50 and all(x() is None for x in gone) and spark.conf.get(key) == usual
+    assert common.MADE[-1]._stratagrid_path == path  # it is still known, and removed at the end of a stage
+    mark = len(common.MADE) - 1
+    left = common.written(spark.range(3))
+    common.remove_since(mark, left)
+    assert [x._stratagrid_path for x in common.MADE[mark:]] == [left._stratagrid_path] and left.count() == 3
+    with pytest.raises(Exception, match="(?i)PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    common.remove(left)
+    assert len(common.MADE) == mark
